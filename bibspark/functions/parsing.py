@@ -33,7 +33,7 @@ def with_title_query(df: DataFrame, filename: str = "filename", out: str = "titl
     d = df.withColumn("_stem", stem).withColumn("_parts", _dash_parts(F.col("_stem")))
     n = F.size("_parts")
     # text after the first year, without a known journal alias of one or two words in front
-    after = T.strip(F.regexp_replace(F.col("_stem"), year_rx, ""), " \\-_")
+    after = T.strip_chars(F.regexp_replace(F.col("_stem"), year_rx, ""), " \\-_")
     d = d.withColumn("_tail", F.when(F.col("_stem").rlike(K.YEAR_PATTERN), T.words(after))
                      .otherwise(F.array().cast("array<string>")))
     one = F.coalesce(F.try_element_at("_tail", F.lit(1)), F.lit(""))
@@ -92,7 +92,7 @@ def text_lines(text: ColumnLike, max_chars: int = 5000) -> Column:
 def _prefix_before(text: Column, pattern: str) -> Column:
     """Text before the first match when it has at least five words, else null."""
     cut = T.let(F.regexp_instr(text, F.lit(pattern)), lambda at: F.when(
-        at > 0, T.strip(F.substring(text, F.lit(1), at - 1), " ,;:\\-")))
+        at > 0, T.strip_chars(F.substring(text, F.lit(1), at - 1), " ,;:\\-")))
     return T.let(cut, lambda prefix: F.when(T.word_count(prefix) >= 5, prefix))
 
 

@@ -39,11 +39,16 @@ def first_filled(*cs: ColumnLike) -> Column:
     return F.coalesce(*[F.nullif(col(c), F.lit("")) for c in cs], F.lit(""))
 
 
-def strip(c: ColumnLike, chars: str = K.SPACE) -> Column:
+def strip_chars(c: ColumnLike, chars: str) -> Column:
     """Trim both ends by a regular-expression character set."""
     return F.regexp_replace(col(c), f"^[{chars}]+|[{chars}]+$", "")
 
 
+def strip(c: ColumnLike) -> Column:
+    """Trim white space.  One parameter, so it can be handed to ``transform`` as it is."""
+    return strip_chars(c, K.SPACE)
+
+
 def squeeze(c: ColumnLike) -> Column:
     """Collapse every white-space run to one blank and trim."""
     return F.trim(F.regexp_replace(col(c), f"[{K.SPACE}]+", " "))

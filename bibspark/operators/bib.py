@@ -12,6 +12,7 @@ from ..functions import text as T
 from .index import row_title
 from .joins import spread_blank, unique_keys
 from .quality import is_supplement
+from ..session import materialize
 
 
 def parse_entries(entries: DataFrame) -> DataFrame:
@@ -158,13 +159,15 @@ def match_entries(rows: DataFrame, parsed: DataFrame) -> DataFrame:
     meta = B.normalized_metadata(F.col("fields"))
     e = e.select("ord", "bibtex_key", "entry_type", meta["doi"].alias("doi"), meta["authors"].alias("authors"),
                  T.normalize_title(meta["title"]).alias("t"), meta["year"].alias("y"))
+    e = materialize(e, "entry_keys")        # read by every level, parsed once
+    rows = materialize(rows.withColumn("_t", T.normalize_title("title")).withColumn("_d", T.normalize_doi("doi")), "match_rows")
     cat = lambda *cs: F.when(sum((F.when(c == "", 1).otherwise(0) for c in cs), F.lit(0)) == 0,
                              F.concat_ws("|", *cs)).otherwise("")
     t, y = F.col("t"), F.col("y")
     title_year = cat(t, y)
     doi_title_year = F.when((F.col("doi") != ""), F.concat_ws("|", "doi", t, y)).otherwise("")
 
-    rt, ry, rd = T.normalize_title("title"), T.strip(T.blank("year")), T.normalize_doi("doi")
+    rt, ry, rd = F.col("_t"), T.strip(T.blank("year")), F.col("_d")
     by_key = e.filter("bibtex_key <> ''").groupBy(F.col("bibtex_key").alias("key")).agg(F.max("ord").alias("key_ord"))
     # author ties: per (title|year, token) the smallest and largest entry; equal over all tokens = one entry
     by_author = (
@@ -200,4 +203,4 @@ def match_entries(rows: DataFrame, parsed: DataFrame) -> DataFrame:
     # rows without an entry get a negative filler, so they spread over all tasks
     chosen = chosen.withColumn("ord", F.coalesce("ord", -F.abs(F.xxhash64("paper_id")) - 1))
     return chosen.join(e.select("ord", F.col("bibtex_key").alias("entry_key"), F.col("entry_type")), "ord", "left").withColumn(
-        "entry_key", T.blank("entry_key")).withColumn("entry_type", T.blank("entry_type")).drop("ord")
+        "entry_key", T.blank("entry_key")).withColumn("entry_type", T.blank("entry_type")).drop("ord", "_t", "_d")

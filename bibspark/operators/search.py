@@ -266,19 +266,19 @@ def search_many(index: DataFrame, queries: list[str], limit: int = 10, no_abstra
     return hits.withColumn("rank", rank).filter(F.col("rank") <= limit)
 
 
-def resolve_target(ranked: DataFrame) -> DataFrame:
-    """Is the best hit unambiguous?  One row: the winner or nothing, and how many hits are plausible.
+def resolve_targets(ranked: DataFrame) -> DataFrame:
+    """Is the best hit of each query unambiguous?
 
-    ``ranked`` holds the rows of one result list with ``score`` and ``rank``.
+    ``ranked`` holds result lists (``query_id``, ``paper_id``, ``score``, ``rank``) that a search limited.
+    A winner is named when it is the only hit or the only one within reach of its own score.
     """
-    top = F.max_by("score", -F.col("rank"))
-    stats = ranked.agg(F.count("*").alias("hits"), top.alias("top_score"),
-                       F.min_by("paper_id", "rank").alias("first_id"),
-                       F.collect_list("score").alias("scores"))
-    plausible = F.size(F.filter("scores", lambda s: s >= F.greatest(F.lit(8.0), F.col("top_score") * 0.8)))
-    return stats.select(
-        "hits", "top_score", plausible.alias("plausible"),
-        F.when((F.col("hits") == 1) | (plausible == 1), F.col("first_id")).otherwise("").alias("paper_id"))
+    top = F.first("score").over(Window.partitionBy("query_id").orderBy("rank"))
+    near = F.col("score") >= F.greatest(F.lit(8.0), F.col("top") * 0.8)
+    stats = ranked.withColumn("top", top).groupBy("query_id").agg(
+        F.count("*").alias("hits"), F.max("top").alias("top_score"), F.count_if(near).alias("plausible"),
+        F.min_by("paper_id", "rank").alias("first_id"))
+    return stats.select("query_id", "hits", "top_score", "plausible", F.when(
+        (F.col("hits") == 1) | (F.col("plausible") == 1), F.col("first_id")).otherwise("").alias("paper_id"))
 
 
 def exact_identifier(index: DataFrame, identifier: str) -> DataFrame:
