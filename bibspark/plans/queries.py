@@ -170,11 +170,11 @@ def search_topk(spark, sf):
 
 
 @query("search_filtered", _search_oracle(
-    "thing of the hain", "yi BETWEEN 1990 AND 2010 AND contains(authors_norm, 'bo name3') AND contains(venue_norm, 'nature') "
+    "nature of the thing 2001", "yi BETWEEN 1990 AND 2010 AND contains(authors_norm, 'bo name3') AND contains(venue_norm, 'nature') "
     "AND content_kind = 'pdf_backed' AND paper_id NOT IN ('doc-3', 'doc-16')", 25, abstract=False))
 def search_filtered(spark, sf):
     f = search.Filters(author="Bo Name3", year="1990-2010", venue="Nature", has_pdf=True, exclude_ids=("doc-3", "doc-16"))
-    return search.search(search_index(spark, sf), "thing of the hain", f, no_abstract=True, limit=25).select(
+    return search.search(search_index(spark, sf), "nature of the thing 2001", f, no_abstract=True, limit=25).select(
         "paper_id", "title", "year", "score")
 
 

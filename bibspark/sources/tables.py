@@ -28,7 +28,8 @@ def write_registry_tsv(registry: DataFrame, path: str) -> None:
     """Export in the same dialect, in row order."""
     ordered = registry.orderBy("row_ord") if "row_ord" in registry.columns else registry
     options = {k: v for k, v in TSV.items() if k != "multiLine"}
-    with_defaults(ordered).select(*K.REGISTRY_FIELDS).write.options(**options, emptyValue="").csv(path)
+    with_defaults(ordered).select(*K.REGISTRY_FIELDS).write.options(
+        **options, emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
 
 
 # --- versioned tables ------------------------------------------------------------------
