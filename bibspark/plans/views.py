@@ -10,10 +10,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..constants import REGISTRY_FIELDS
+from ..session import spread_scan
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread_scan(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def _s(c: Column) -> Column:

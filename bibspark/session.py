@@ -38,3 +38,14 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     schema = df.schema
     df.write.parquet(path)
     return spark.read.schema(schema).parquet(path)
+
+
+def spread_scan(scan: DataFrame) -> DataFrame:
+    """Spread a scan that has fewer splits than the session has cores.
+
+    Text work is bound by CPU; a small file with one row group would keep a single core busy.  Scans
+    of large tables have far more splits than cores and stay as they are, without a shuffle.
+    Only for plain scans: counting splits plans the frame.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
