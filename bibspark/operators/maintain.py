@@ -363,7 +363,7 @@ def with_canonical_name(registry: DataFrame, abbreviations: DataFrame) -> DataFr
     """Add ``target_name`` (``Author YEAR Journal - Title.pdf``); null when status, year or title is missing."""
     d = registry.withColumn("_venue", T.strip(T.blank("venue"))).join(
         abbreviations.withColumnRenamed("venue", "_venue"), "_venue", "left")
-    year, name = T.strip(T.blank("year")), T.blank("filename")
+    year, name = T.clean_text("year"), T.blank("filename")
     behind = F.substring(name, F.call_function("locate", year, name) + F.length(year), F.length(name))
     token = F.replace(N.safe_fragment(F.regexp_replace(F.substring_index(behind, " - ", 1), r"^[ _\-]+|[ _\-]+$", "")),
                       F.lit(" "), F.lit(""))

@@ -664,7 +664,7 @@ def markup_strip(spark, sf):
     return V.table(spark, sf, "pages").select("page_id", T.strip_tags("html").alias("text"))
 
 
-@query("markup_unescaped")
+@query("markup_unescaped", f"""SELECT page_id, {S.squeeze(S.sub("replace(replace(replace(replace(replace(replace(replace(replace(html, '&copy;', '©'), '&middot;', '·'), '&nbsp;', chr(160)), '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&#39;', chr(39)), '&amp;', '&')", '<[^>]+>', ' '))} AS text FROM pages""")
 def markup_unescaped(spark, sf):
     return V.table(spark, sf, "pages").select("page_id", T.strip_tags(arrow.html_unescape(F.col("html"))).alias("text"))
 
@@ -701,7 +701,24 @@ def reference_stubs(spark, sf):
     return V.registry(spark, sf).select("paper_id", chunks.stub_text("resolved_title", "authors", "year", "venue", "doi", "canonical_url", F.lit(""), "bibtex_key").alias("text"))
 
 
-@query("doi_candidates")
+_PLANTED = """planted AS (SELECT doc_id, 'doc-' || doc_id AS paper_id, 'Name' || (doc_id % 97) || ' ' || (1980 + n_chars % 45) || ' NatGenet - '
+    || regexp_replace(substr(head, 1, 60), '[/]', ' ', 'g') || '.pdf' AS filename,
+  CASE WHEN doc_id % 3 = 1 THEN head || chr(10) || 'https://doi.org/' || pd || substr(text, length(head) + 1)
+    WHEN doc_id % 3 = 2 THEN text || chr(10) || 'References' || chr(10) || 'cited by doi: ' || pd || '. 10.1234/abc.' ELSE text END AS text
+  FROM (SELECT *, split_part(text, chr(10), 1) AS head, '10.1234/abc.' || lpad(doc_id::VARCHAR, 6, '0') AS pd FROM documents))"""
+_DOIS = f"""windows AS (SELECT paper_id, 'filename' AS region, 0.2 AS base, 0 AS w, filename AS t FROM planted
+    UNION ALL SELECT paper_id, 'first_page', 0.45, 1, substr(text, 1, 6000) FROM planted UNION ALL SELECT paper_id, 'front_window', 0.35, 2, substr(text, 1, 6000) FROM planted
+    UNION ALL SELECT paper_id, 'broad_window', 0.15, 3, substr(text, 1, 20000) FROM planted),
+  raw AS (SELECT DISTINCT * FROM (SELECT *, regexp_replace(unnest(regexp_extract_all(t, '(?i)\\b10\\.[0-9]{{4,9}}/[-._;()/:A-Z0-9]+\\b')), '[.,);\\]]+$', '') AS d FROM windows)),
+  placed AS (SELECT *, strpos(lower(t), lower(d)) - 1 AS pos FROM raw WHERE length(regexp_replace(d, '^[^/]*/', '')) >= 8 AND regexp_matches(regexp_replace(d, '^[^/]*/', ''), '[0-9]')),
+  ctx AS (SELECT *, lower({S.squeeze('substr(t, greatest(0, pos - 90) + 1, pos + length(d) + 90 - greatest(0, pos - 90))')}) AS low FROM placed),
+  scored AS (SELECT paper_id, d AS doi, region, pos, w, round(base + CASE WHEN pos < 300 THEN 0.2 WHEN pos < 1200 THEN 0.12 WHEN pos < 4000 THEN 0.05 ELSE 0.0 END
+    + CASE WHEN contains(low, 'doi:') OR contains(low, 'doi.org/') THEN 0.18 ELSE 0.0 END - CASE WHEN regexp_matches(low, 'references|bibliography|cited by|et al[.]') THEN 0.2 ELSE 0.0 END, 4)::DOUBLE AS pr FROM ctx),
+  best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY paper_id, doi ORDER BY pr DESC, pos, w) AS k FROM scored) WHERE k = 1),
+  dois AS (SELECT paper_id, doi, region, pos, pr, (row_number() OVER (PARTITION BY paper_id ORDER BY pr DESC, pos, doi DESC) - 1)::INT AS place FROM best)"""
+
+
+@query("doi_candidates", f"WITH {_PLANTED}, {_DOIS} SELECT paper_id, place, doi, region AS source_region, pos::INT AS position, pr AS priority_score FROM dois")
 def doi_candidates(spark, sf):
     d = V.planted_texts(spark, sf).select("paper_id", F.posexplode(P.doi_candidates("text", "filename")).alias("place", "c"))
     return d.select("paper_id", "place", "c.doi", "c.source_region", "c.position", "c.priority_score")
@@ -756,22 +773,57 @@ def similarity_benchmark(spark, sf):
     return similarity.similar_titles(items, "q", lines, "l", 0.9).select("q_norm", "t_norm", r4(F.col("similarity")).alias("similarity"))
 
 
-@query("doi_resolution")
+_WORKT = """CASE WHEN row_ord % 11 = 2 THEN 'Abstract' WHEN row_ord % 5 = 1 THEN array_to_string(list_slice(string_split(title_query, ' '), 1, greatest(1, len(string_split(title_query, ' ')) - 1)), ' ')
+  WHEN row_ord % 7 = 3 THEN 'Unrelated report ' || row_ord ELSE title_query END"""
+
+
+@query("doi_resolution", S.with_registry(f"""SELECT paper_id, doi AS best_doi, round(score, 4) AS best_score, CASE WHEN score >= 0.55 THEN 'accepted' WHEN score >= 0.35 THEN 'review' ELSE 'rejected' END AS decision, attempts
+  FROM (SELECT *, count(*) OVER (PARTITION BY paper_id) AS attempts, row_number() OVER (PARTITION BY paper_id ORDER BY score DESC, pr DESC, place) AS k FROM (
+    SELECT paper_id, doi, pr, place, CASE WHEN wn IN ('', 'abstract', 'proceedings of the national academy of sciences') THEN -1.0 ELSE {S.sim('q', 'wn', 'qt', 'wt')}
+      + CASE WHEN wy = hint THEN 0.08 WHEN abs(wy - hint) = 1 THEN 0.03 ELSE 0.0 END + CASE WHEN vk = 'naturegenetics' THEN 0.08 ELSE 0.0 END END AS score FROM (
+      SELECT d.*, {S.norm('r.title_query')} AS q, {S.tokens(S.norm('r.title_query'))} AS qt, {S.norm('w.t')} AS wn, {S.tokens(S.norm('w.t'))} AS wt, w.y AS wy,
+        (SELECT 1980 + n_chars % 45 FROM documents x WHERE 'doc-' || x.doc_id = d.paper_id) AS hint, {S.venue_key('w.v')} AS vk
+      FROM dois d JOIN registry r USING (paper_id) JOIN (SELECT '10.1234/abc.' || lpad(row_ord::VARCHAR, 6, '0') AS wd, {_WORKT} AS t, year, {S.venue("CASE WHEN venue = 'bioRxiv' THEN 'Nature Genetics' ELSE venue END")} AS v,
+        CASE WHEN year <> 'n/a' THEN year::INT + row_ord % 3 - 1 END AS y FROM registry) w ON w.wd = lower(d.doi)))) WHERE k = 1""", _PLANTED, _DOIS))
 def doi_resolution(spark, sf):
+    """Targets are the registry titles, so that SQL can follow."""
+    texts = P.with_filename_hints(V.planted_texts(spark, sf)).select(
+        "paper_id", "year_hint", "venue_hint", P.doi_candidates("text", "filename").alias("doi_candidates"))
+    facts = texts.join(V.registry(spark, sf).select("paper_id", "title_query"), "paper_id").withColumn(
+        "title_candidates", F.array().cast("array<string>"))
+    return resolve.resolve_dois(facts, V.works(spark, sf)).select(
+        "paper_id", "best_doi", r4(F.col("best_score")).alias("best_score"), "decision", "attempts")
+
+
+@query("doi_resolution_titles")
+def doi_resolution_titles(spark, sf):
     facts = materialize(resolve.with_text_facts(V.planted_texts(spark, sf)), "text_facts")
     return resolve.resolve_dois(facts, V.works(spark, sf)).select(
         "paper_id", "best_doi", r4(F.col("best_score")).alias("best_score"), "decision", "attempts", joined("warnings").alias("warnings"))
 
 
-@query("candidate_rank")
+_RETRIEVED = f"""cands AS (SELECT 'C' || row_ord AS id, t, CASE WHEN year = 'n/a' THEN '' ELSE (year::INT + row_ord % 4 - 1)::VARCHAR END AS cy, {S.norm('t')} AS tn FROM (SELECT *,
+      CASE WHEN row_ord % 3 = 0 THEN array_to_string(list_slice(string_split(title_query, ' '), 1, greatest(1, len(string_split(title_query, ' ')) - 1)), ' ')
+        WHEN row_ord % 3 = 1 THEN title_query ELSE array_to_string(list_reverse(string_split(title_query, ' ')), ' ') END AS t FROM registry)),
+  tn AS (SELECT tn, {S.tokens('tn')} AS tt FROM (SELECT DISTINCT tn FROM cands WHERE tn <> '')),
+  qn AS (SELECT qn, {S.tokens('qn')} AS qt FROM (SELECT DISTINCT {S.norm('title_query')} AS qn FROM registry) WHERE qn <> ''),
+  pairs AS (SELECT qn, tn, s FROM (SELECT qn.qn, tn.tn, {S.sim('qn.qn', 'tn.tn', 'qt', 'tt')} AS s FROM qn, tn) WHERE s >= 0.7),
+  pool AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY tn ORDER BY id) AS k FROM cands WHERE tn <> '') WHERE k <= 10),
+  found AS (SELECT * FROM (SELECT p.qn, p.s, c.id, c.cy, c.t, row_number() OVER (PARTITION BY p.qn ORDER BY p.s DESC, c.id) AS n FROM pairs p JOIN pool c USING (tn)) WHERE n <= 10)"""
+
+
+@query("candidate_rank", S.with_registry(f"""SELECT r.paper_id, row_number() OVER (PARTITION BY r.paper_id ORDER BY round(s, 4) DESC, cy DESC, t DESC, 'paper:' || id DESC) AS rank, 'paper:' || id AS identity,
+  round(s, 4) AS score, round(s, 4) AS similarity FROM registry r JOIN found ON qn = {S.norm('r.title_query')} WHERE r.title_query <> ''""", _RETRIEVED))
 def candidate_rank(spark, sf):
     facts = P.with_filename_hints(V.registry(spark, sf).select("paper_id", "filename", "item_type", "title_query"))
     queries = facts.filter("title_query <> ''").select("paper_id", F.lit(0).alias("ord"), F.col("title_query").alias("query"), "filename", "item_type", "year_hint", "venue_hint")
     attempts = resolve.candidate_attempts(queries, resolve.retrieve_candidates(queries, V.candidates(spark, sf)))
-    return resolve.merge_candidates(attempts).select("paper_id", "rank", "identity", "score", "similarity")
+    return resolve.merge_candidates(attempts).select("paper_id", F.col("rank").cast("bigint").alias("rank"), "identity", "score", "similarity")
 
 
-@query("candidate_choice")
+@query("candidate_choice", S.with_registry(f"""SELECT r.paper_id, r.title_query AS query, CASE WHEN s IS NULL THEN 'not_found' WHEN s >= 0.9 THEN 'matched' WHEN s >= 0.75 THEN 'needs_manual_review' ELSE 'not_found' END AS status,
+  coalesce(s, 0.0)::DOUBLE AS best_score, coalesce(n, 0)::INT AS n_candidates, id AS candidate FROM registry r LEFT JOIN (SELECT qn, round(max(s), 4) AS s, count(*) AS n, min_by(id, n) AS id FROM found GROUP BY qn) f
+  ON f.qn = {S.norm('r.title_query')} WHERE r.title_query <> ''""", _RETRIEVED))
 def candidate_choice(spark, sf):
     facts = P.with_filename_hints(V.registry(spark, sf).select("paper_id", "filename", "item_type", "title_query"))
     queries = facts.filter("title_query <> ''").select("paper_id", F.lit(0).alias("ord"), F.col("title_query").alias("query"), "filename", "item_type", "year_hint", "venue_hint")
@@ -779,7 +831,12 @@ def candidate_choice(spark, sf):
     return resolve.choose_attempt(attempts).select("paper_id", "query", "status", "best_score", "n_candidates", F.col("best.c.paperId").alias("candidate"))
 
 
-@query("supplement_parents")
+@query("supplement_parents", S.with_registry(f"""SELECT paper_id, pid AS parent_id, round(s, 4) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY paper_id ORDER BY s DESC, po) AS k FROM (
+    SELECT a.paper_id, p.paper_id AS pid, p.row_ord AS po, {S.sim('a.q', 'p.t', 'a.qt', 'p.tt')} AS s FROM (
+      SELECT *, EXISTS (SELECT 1 FROM parents x WHERE dir <> '' AND starts_with(x.pdf_path, dir || '/')) AS scoped FROM (SELECT paper_id, regexp_replace(pdf_path, '/[^/]*$', '') AS dir, {S.norm('title_query')} AS q,
+        {S.tokens(S.norm('title_query'))} AS qt FROM registry WHERE ({S.is_supp_audit()} OR row_ord % 5 >= 3) AND len({S.words('title_query')}) >= 4)) a
+    JOIN parents p ON (NOT a.scoped OR starts_with(p.pdf_path, a.dir || '/'))) WHERE s >= 0.9) WHERE k = 1""",
+  f"parents AS (SELECT paper_id, row_ord, pdf_path, t, {S.tokens('t')} AS tt FROM (SELECT *, {S.norm(S.filled('resolved_title', 'title_query'))} AS t FROM registry WHERE match_status IN ('matched', 'matched_via_doi', 'matched_supplement')) WHERE t <> '')"))
 def supplement_parents(spark, sf):
     r = V.registry(spark, sf)
     supp = r.filter(quality.is_supplement("audit") | (F.col("row_ord") % 5 >= 3)).select("paper_id", "pdf_path", F.array("title_query").alias("title_candidates"))
@@ -915,7 +972,18 @@ def incoming_duplicates(spark, sf):
     return maintain.resolve_incoming_duplicates(r, d).select("paper_id", "pdf_path", "filename")
 
 
-@query("rename_plan")
+def _safe(e: str) -> str:
+    e = S.sub(f"strip_accents({S.sub(e, '[‐‑‒–—−]', '-')})", "[^\\x00-\\x7f]", "")
+    e = S.sub(f"replace({e}, '&', 'and')", '[/:?*"<>|]+', " ")
+    e = S.sub(S.sub(e, r"\s*-\s*", "-"), r"[.]{2,}", ".")
+    return S.sub(S.squeeze(e), r"^[ ._-]+|[ ._-]+$", "")
+
+
+@query("rename_plan", S.with_registry(f"""SELECT paper_id, pdf_path AS current_path, CASE WHEN n = 1 THEN target || '.pdf' ELSE target || ' (' || n || ').pdf' END AS target_path FROM (
+  SELECT *, row_number() OVER (PARTITION BY target ORDER BY row_ord) AS n FROM (SELECT paper_id, pdf_path, row_ord, regexp_replace(pdf_path, '[^/]*$', '') || 'Name' || (row_ord % 97) || ' ' || year || ' '
+    || coalesce(a, nullif(substr(replace({_safe('venue')}, ' ', ''), 1, 24), ''), 'UnknownJournal') || ' - ' || {_safe(S.filled('resolved_title', 'title_query'))} || CASE WHEN row_ord % 25 = 7 THEN ' - SI' ELSE '' END AS target
+    FROM registry LEFT JOIN (SELECT journal, max_by(coalesce(nullif(filename_abbreviation, ''), replace(citation_abbreviation, '.', '')), ord) AS a FROM journals GROUP BY 1) ON journal = venue
+    WHERE pdf_path <> '' AND match_status IN ('matched', 'matched_via_doi', 'manual_verified') AND year <> 'n/a' AND {S.filled('resolved_title', 'title_query')} <> ''))""", S.JOURNALS))
 def rename_plan(spark, sf):
     return maintain.rename_plan(V.registry(spark, sf), maintain.journal_file_names(V.journals(spark, sf), spark))
 
@@ -928,7 +996,16 @@ def reconcile(spark, sf):
                     joined("rewrite_reasons").alias("rewrite_reasons"), joined(F.array_sort(F.map_keys("changes"))).alias("changed"), "applies")
 
 
-@query("batch_accept")
+@query("batch_accept", "WITH RECURSIVE " + S.REGISTRY + ", " + _BIBV + f""", known AS (SELECT list(DISTINCT k) AS ks FROM (
+    SELECT 'd' || lower(trim(doi)) AS k FROM registry WHERE row_ord % 10 = 0 AND doi <> '' UNION ALL SELECT 'k' || lower(bibtex_key) FROM registry WHERE row_ord % 10 = 0 AND bibtex_key <> ''
+    UNION ALL SELECT 't' || lower(trim(resolved_title)) FROM registry WHERE row_ord % 10 = 0 AND resolved_title <> '')),
+  entries AS (SELECT ord, row_number() OVER (ORDER BY ord) AS i, CASE WHEN d <> '' THEN 'd' || d ELSE '-' END AS kd, CASE WHEN bibtex_key <> '' THEN 'k' || lower(bibtex_key) ELSE '-' END AS kk,
+    CASE WHEN title <> '' THEN 't' || lower(title) ELSE '-' END AS kt FROM (SELECT *, {S.doi('doi_raw')} AS d FROM bibv)),
+  walk AS (SELECT 0::BIGINT AS i, NULL::BIGINT AS ord, ''::VARCHAR AS reason, ks AS taken FROM known
+    UNION ALL SELECT e.i, e.ord, CASE WHEN list_contains(w.taken, e.kd) THEN 'doi' WHEN list_contains(w.taken, e.kk) THEN 'key' WHEN list_contains(w.taken, e.kt) THEN 'title' ELSE '' END,
+      CASE WHEN list_contains(w.taken, e.kd) OR list_contains(w.taken, e.kk) OR list_contains(w.taken, e.kt) THEN w.taken ELSE list_concat(w.taken, list_filter([e.kd, e.kk, e.kt], lambda x: x <> '-')) END
+    FROM walk w JOIN entries e ON e.i = w.i + 1)
+  SELECT ord, reason = '' AS accepted, reason FROM walk WHERE i > 0""")
 def batch_accept(spark, sf):
     meta = BX.normalized_metadata(F.col("fields"))
     inc = _parsed(spark, sf).select("ord", meta["doi"].alias("doi"), "bibtex_key", meta["title"].alias("title"))
@@ -958,7 +1035,9 @@ def rebuild_from_records(spark, sf):
         "paper_id", "content_kind", "pdf_path", "resolved_title", "authors", "year", "venue", "doi", "canonical_url", "abstract_source", "notes")
 
 
-@query("refresh_guard")
+@query("refresh_guard", S.with_registry("""SELECT paper_id, array_to_string(p, '|') AS problems FROM (SELECT paper_id, list_filter([CASE WHEN content_kind = 'pdf_backed' AND chunk_path = '' THEN 'missing:chunk_path' END,
+  CASE WHEN row_ord % 5 IN (1, 3, 4) AND year = 'n/a' THEN 'loss:year' END, CASE WHEN row_ord % 5 = 2 AND doi <> '' THEN 'loss:doi' END, CASE WHEN row_ord % 5 = 2 AND canonical_url <> '' THEN 'loss:canonical_url' END],
+  lambda x: x IS NOT NULL) AS p FROM registry) WHERE len(p) > 0"""))
 def refresh_guard(spark, sf):
     r = V.registry(spark, sf)
     rebuilt = materialize(rebuild.rows_from_records(V.records(spark, sf), r, _parsed(spark, sf)), "rebuilt")
@@ -979,7 +1058,14 @@ def add_files(spark, sf):
     return maintain.add_files(V.registry(spark, sf).filter("row_ord % 2 = 0"), _file_items(spark, sf)).rows.select("paper_id", "pdf_path")
 
 
-@query("add_references")
+@query("add_references", S.with_registry(f"""SELECT paper_id, max_by(content_kind, row_ord) AS content_kind, max_by(bibtex_key, row_ord) AS bibtex_key, max_by(text_path, row_ord) AS text_path, max_by(title, row_ord) AS resolved_title FROM (
+    SELECT m.row_ord, coalesce(x.paper_id, minted) AS paper_id, coalesce(x.content_kind, 'reference_only') AS content_kind, {S.filled('x.bibtex_key', 'mkey')} AS bibtex_key, m.title,
+      CASE WHEN coalesce(x.content_kind, 'reference_only') = 'reference_only' THEN 'text/' || coalesce(x.paper_id, minted) || '.txt' ELSE x.text_path END AS text_path
+    FROM (SELECT r.row_ord, {S.squeeze('r.resolved_title')} AS title, coalesce(d.m, t.m) AS mid, {S.sub(S.slug("'Name' || (row_ord % 97) || year || coalesce((" + S.tokens('resolved_title') + ")[1], 'paper')"), '-', '')} AS mkey,
+        CASE WHEN r.doi <> '' THEN 'doi-' || regexp_replace({S.doi('r.doi')}, '[^a-z0-9]+', '-', 'g') ELSE 'bib-' || substr(sha256({S.norm('r.resolved_title')} || '|' || r.year || '|' || {S.norm("split_part(r.authors, ',', 1)")} || '|' || {S.norm(S.venue('r.venue'))}), 1, 16) END AS minted
+      FROM registry r LEFT JOIN (SELECT {S.doi('doi')} AS k, min(paper_id) AS m FROM registry WHERE doi <> '' AND row_ord % 2 = 0 GROUP BY 1 HAVING count(*) = 1) d ON d.k = {S.doi('r.doi')}
+      LEFT JOIN (SELECT {S.norm(S.filled('resolved_title', 'title_query'))} AS k, year AS y, min(paper_id) AS m FROM registry WHERE row_ord % 2 = 0 GROUP BY 1, 2 HAVING count(*) = 1) t
+        ON t.k = {S.norm('r.resolved_title')} AND t.k <> '' AND t.y = r.year) m LEFT JOIN registry x ON x.paper_id = m.mid) GROUP BY paper_id"""))
 def add_references(spark, sf):
     r = V.registry(spark, sf)
     inc = r.select(F.col("row_ord").alias("ord"), F.lit("").alias("s2_id"), F.col("resolved_title").alias("title"), "authors", "year", "venue", "doi",
