@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .. import constants as K
 from . import text as T
 from .arrow import html_unescape
 
@@ -40,6 +41,11 @@ def work_fields(w: Column) -> dict[str, Column]:
     }
 
 
+def report_fields(work: ColumnLike) -> Column:
+    """The fields of a works map that reports keep."""
+    return F.map_filter(T.col(work), lambda k, _: k.isin(K.REPORT_WORK_FIELDS))
+
+
 # --- candidates -----------------------------------------------------------------------
 
 def candidate_fields(c: Column) -> dict[str, Column]:

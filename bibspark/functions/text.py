@@ -212,3 +212,11 @@ def title_similarity(query: ColumnLike, title: ColumnLike) -> Column:
 
     pair = F.struct(parts(query).alias("q"), parts(title).alias("t"))
     return let(pair, lambda p: similarity_from_parts(p["q"]["n"], p["t"]["n"], p["q"]["t"], p["t"]["t"]))
+
+
+def dedupe_queries(queries: ColumnLike) -> Column:
+    """Query texts in order, one per normalised form; empty ones are left out."""
+    pairs = F.transform(col(queries), lambda q: F.struct(normalize_title(q).alias("n"), squeeze(q).alias("q")))
+    kept = let(pairs, lambda ps: F.filter(ps, lambda p, i: (p["n"] != "") & (
+        F.array_position(F.transform(ps, lambda x: x["n"]), p["n"]) == i + 1)))
+    return F.transform(kept, lambda p: p["q"])

@@ -137,6 +137,17 @@ def abbreviate_journals(entries: DataFrame, journals: DataFrame, strip_dots: boo
         "bibtex_key", "entry_type", "fields", B.render_entry("entry_type", "bibtex_key", F.col("fields")).alias("raw"))
 
 
+def citation_entries(entries: DataFrame, journals: DataFrame) -> DataFrame:
+    """Entries for a citation processor: abbreviated journal (by canonical name) and ``and`` separated authors."""
+    from .index import join_journals
+    d = join_journals(entries.withColumn("_journal", T.blank(F.try_element_at("fields", F.lit("journal")))), journals, "_journal")
+    author = N.authors_for_citeproc(T.first_filled(F.try_element_at("fields", F.lit("author")), "normalized.authors"))
+    extra = F.create_map(F.lit("journal"), F.col("citation_abbreviation"), F.lit("author"), author)
+    fields = B.clean_fields("entry_type", B.overlay(F.col("fields"), extra))
+    return d.withColumn("fields", fields).select(
+        "bibtex_key", "entry_type", "fields", B.render_entry("entry_type", "bibtex_key", F.col("fields")).alias("raw"))
+
+
 def field_types_for_registry(registry: DataFrame, parsed: DataFrame) -> DataFrame:
     """Schema migration: bibliography type from the entry with the row's key, else from the item type."""
     types = dedupe_keys(parsed, "last").select("bibtex_key", F.col("entry_type").alias("_type"))

@@ -24,8 +24,13 @@ from .quality import filename_looks_bad, filename_looks_downloaded, filename_nee
 def upsert(base: DataFrame, updates: DataFrame, key: str = "paper_id") -> DataFrame:
     """Replace rows with the same key, append the others.
 
-    A replaced row keeps its ``row_ord``; new rows follow behind the largest one in update order.
+    A replaced row keeps its ``row_ord``; new rows follow behind the largest one in update order.  Of
+    several updates for one key the last one counts.
     """
+    if "row_ord" in updates.columns:
+        cols = [c for c in updates.columns if c != key]
+        last_of = updates.groupBy(key).agg(F.max_by(F.struct(*cols), "row_ord").alias("_u"))
+        updates = last_of.select(key, *[F.col(f"_u.`{c}`").alias(c) for c in cols])
     if "row_ord" not in base.columns:
         return base.join(updates.select(key), key, "left_anti").unionByName(updates.select(base.columns))
     old = base.select(key, F.col("row_ord").alias("_old"))
@@ -417,3 +422,30 @@ def dedupe_journals(journals: DataFrame) -> DataFrame:
     return (d.groupBy(T.casefold("journal").alias("k"))
             .agg(F.max_by(F.struct("journal", *cols), F.struct(has, -F.col("ord"))).alias("r"))
             .select("r.*").orderBy(F.lower("journal")))
+
+
+def normalize_bib_journals(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Entries with canonical journal names and the number of changed entries."""
+    old = T.blank(F.try_element_at("fields", F.lit("journal")))
+    new = T.normalize_venue(old)
+    changed = parsed.agg(F.count_if(new != old).alias("changed"))
+    return parsed.withColumn("fields", F.transform_values(
+        "fields", lambda k, v: F.when(k == "journal", T.normalize_venue(v)).otherwise(v))), changed
+
+
+def link_new_supplements(registry: DataFrame, incoming: DataFrame) -> DataFrame:
+    """Rows for new supplement files ``incoming(ord, path, text, parent_id)``; use with :func:`upsert`.
+
+    Metadata comes from the parent, the id from the content, the DOI stays empty.
+    """
+    parent = registry.select(F.col("paper_id").alias("parent_id"), F.struct(
+        row_title().alias("title"), "authors", "year", "venue", "bibtex_type", "canonical_url", "bibtex_key").alias("p"))
+    d = incoming.select("ord", "path", "parent_id", F.sha2("text", 256).alias("sha256")).join(parent, "parent_id")
+    pid, name = N.content_id("sha256"), N.base_name("path")
+    return with_defaults(d.select(
+        pid.alias("paper_id"), P.item_type("path").alias("item_type"), F.lit(K.PDF_BACKED).alias("content_kind"),
+        F.col("path").alias("pdf_path"), F.col("sha256").alias("pdf_sha256"), name.alias("filename"),
+        N.file_stem(name).alias("title_query"), T.first_filled("p.title", F.lit("Untitled")).alias("resolved_title"),
+        *[F.col(f"p.{c}").alias(c) for c in ("authors", "year", "venue", "bibtex_type", "canonical_url", "bibtex_key")],
+        F.lit("matched_supplement").alias("match_status"), F.concat(F.lit("text/"), pid, F.lit(".txt")).alias("text_path"),
+        F.concat(F.lit("chunks/"), pid, F.lit(".jsonl")).alias("chunk_path"), F.col("ord").alias("row_ord")))

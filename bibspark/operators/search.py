@@ -349,3 +349,11 @@ def supplements_of(registry: DataFrame) -> DataFrame:
         F.col("paper_id").alias("supplement_id"), "bibtex_key")
     parent = registry.filter(F.col("bibtex_key") != "").select("paper_id", "bibtex_key")
     return parent.join(child, "bibtex_key").filter("paper_id <> supplement_id")
+
+
+def record_detail(ids: DataFrame, registry: DataFrame, records: DataFrame, entries: DataFrame) -> DataFrame:
+    """Registry row, record and bibliography entry of each ``ids(paper_id)``; equi-joins, so any number of ids."""
+    entry = entries.groupBy("bibtex_key").agg(F.max_by("raw", "ord").alias("raw_bibtex"))
+    rows = registry.join(ids.select("paper_id"), "paper_id", "left_semi")
+    record = records.select("paper_id", F.struct(*records.columns).alias("record"))
+    return rows.join(record, "paper_id", "left").join(entry, "bibtex_key", "left")

@@ -617,6 +617,31 @@ def bib_representative(spark, sf):
     return bib.representatives(r, V.records(spark, sf)).select("bibtex_key", "paper_id", F.col("representative_score").cast("bigint").alias("score"))
 
 
+@query("record_detail", S.with_registry("""SELECT r.paper_id, r.bibtex_key, CASE WHEN row_ord % 5 = 1 THEN 'matched_via_doi' ELSE match_status END AS record_status, coalesce(length(regexp_extract(k, '.*')), 0)::INT AS key_chars
+  FROM registry r LEFT JOIN (SELECT DISTINCT bibtex_key AS k FROM registry WHERE bibtex_key <> '') ON k = r.bibtex_key WHERE row_ord % 2 = 0"""))
+def record_detail(spark, sf):
+    r = V.registry(spark, sf)
+    d = search.record_detail(r.filter("row_ord % 2 = 0").select("paper_id"), r, V.records(spark, sf).drop("row_ord"), _parsed(spark, sf).filter("error = ''"))
+    key = F.regexp_extract(T.blank("raw_bibtex"), r"\{([^,]*),", 1)
+    return d.select("paper_id", "bibtex_key", F.col("record.match_status").alias("record_status"), F.length(key).alias("key_chars"))
+
+
+@query("bib_journals_normalized", S.with_registry(f"""SELECT ord, {S.venue("replace(replace(venue_raw, '{{', ''), '}}', '')")} AS journal FROM bibv WHERE NOT book""", _BIBV))
+def bib_journals_normalized(spark, sf):
+    plain = _parsed(spark, sf).filter("entry_type = 'article'").withColumn("fields", F.transform_values(
+        "fields", lambda k, v: F.regexp_replace(v, r"^\{|\}$", "")))
+    return maintain.normalize_bib_journals(plain)[0].select("ord", T.blank(F.try_element_at("fields", F.lit("journal"))).alias("journal"))
+
+
+@query("new_supplements", S.with_registry("""SELECT 'sha256-' || substr(sha256(d.text || 'S'), 1, 16) AS paper_id, CASE WHEN p.resolved_title <> '' THEN p.resolved_title WHEN p.title_query <> '' THEN p.title_query ELSE 'Untitled' END AS resolved_title,
+  p.bibtex_key, 'S' || d.doc_id AS title_query FROM documents d JOIN registry p ON p.row_ord = d.doc_id"""))
+def new_supplements(spark, sf):
+    d = F.col("doc_id")
+    inc = V.documents(spark, sf).select(d.alias("ord"), F.concat(F.lit("articles/s/S"), d.cast("string"), F.lit(".pdf")).alias("path"),
+                                        F.concat("text", F.lit("S")).alias("text"), F.concat(F.lit("doc-"), d.cast("string")).alias("parent_id"))
+    return maintain.link_new_supplements(V.registry(spark, sf), inc).select("paper_id", "resolved_title", "bibtex_key", "title_query")
+
+
 @query("bib_rebuild")
 def bib_rebuild(spark, sf):
     return bib.rebuild_bibliography(V.registry(spark, sf), V.records(spark, sf), _parsed(spark, sf)).select("bibtex_key", "entry_type", "raw")
@@ -740,7 +765,9 @@ def filename_hints(spark, sf):
     return P.with_filename_hints(V.planted_texts(spark, sf).drop("text")).select("paper_id", "year_hint", "venue_hint")
 
 
-@query("filename_titles")
+@query("filename_titles", f"""WITH {_PLANTED} SELECT paper_id, CASE WHEN len(c) >= 3 THEN {S.titleish('c[-1]')} WHEN len(c) = 2 AND len({S.words(S.titleish('c[2]'))}) >= 4 THEN {S.titleish('c[2]')}
+  WHEN len(c) = 2 THEN {S.titleish("c[1] || ' ' || c[2]")} ELSE '' END AS title_query
+  FROM (SELECT paper_id, list_filter(list_transform(string_split(replace(regexp_replace(filename, '[.][^.]*$', ''), '_', ' '), ' - '), lambda x: trim(x)), lambda x: x <> '') AS c FROM planted)""")
 def filename_titles(spark, sf):
     return P.with_title_query(V.planted_texts(spark, sf).drop("text")).select("paper_id", "title_query")
 
