@@ -25,6 +25,9 @@ CASE_FOLDS = {
 }
 
 
+FOLDING_LETTERS = "[" + "".join(CASE_FOLDS) + "]"
+
+
 def col(c: ColumnLike) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
@@ -80,7 +83,7 @@ def casefold(c: ColumnLike) -> Column:
 def casefold_text(c: ColumnLike) -> Column:
     """The same for long texts: the replacements only run when an affected letter is there."""
     c = col(c)
-    return F.when(c.rlike("[" + "".join(CASE_FOLDS) + "]"), casefold(c)).otherwise(F.lower(c))
+    return F.when(c.rlike(FOLDING_LETTERS), casefold(c)).otherwise(F.lower(c))
 
 
 def normalize_title(c: ColumnLike) -> Column:

@@ -165,19 +165,25 @@ def fulltext_document(texts: DataFrame, q: QueryText) -> DataFrame:
     any_token = F.lit("(?i)(?<![A-Za-z0-9])(?:" + "|".join(q.tokens) + ")(?![A-Za-z0-9])") if q.tokens else None
     hits = (F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all("text", any_token, F.lit(0)), F.lower)))
             if q.tokens else F.array().cast("array<string>"))
-    normalized = F.regexp_replace(T.casefold_text("text"), "[^a-z0-9]+", " ")
-    phrase = F.contains(normalized, F.lit(q.norm)) if q.norm else F.lit(False)
-    # the phrase located in the raw text: its words with any run of other characters between them
-    loose = "(?i)" + "[^A-Za-z0-9]+".join(q.norm.split(" ")) if q.norm else ""
-    at = F.greatest(F.regexp_instr("text", F.lit(loose)) - 81, F.lit(0)) if q.norm else F.lit(0)
-    snippet = F.when(F.col("phrase"), T.squeeze(F.substring(F.col("text"), at + 1, F.lit(220)))).otherwise("")
-    return (
-        texts.withColumn("token_hits", hits).withColumn("phrase", phrase)
-        .withColumn("fulltext_score", F.when(F.col("phrase"), W["fulltext_phrase"]).otherwise(0.0)
-                    + F.size("token_hits") * W["fulltext_token"])
-        .filter("fulltext_score > 0")
-        .select("paper_id", "fulltext_score", "token_hits", snippet.alias("snippet"))
-    )
+    # the phrase in the raw text: its words with any run of other characters between them; texts with
+    # letters that fold to several characters are compared in normalised form
+    loose = "(?i)" + "[^A-Za-z0-9]+".join(q.norm.split(" "))
+    if q.norm:
+        normalized = F.regexp_replace(T.casefold_text("text"), "[^a-z0-9]+", " ")
+        phrase = F.col("text").rlike(loose) | (F.col("text").rlike(T.FOLDING_LETTERS) & F.contains(normalized, F.lit(q.norm)))
+    else:
+        phrase = F.lit(False)
+
+    def finish(x: Column) -> Column:
+        at = F.greatest(F.regexp_instr("text", F.lit(loose)) - 81, F.lit(0))
+        snippet = F.when(x["phrase"], T.squeeze(F.substring(F.col("text"), at + 1, F.lit(220)))).otherwise("")
+        score = F.when(x["phrase"], W["fulltext_phrase"]).otherwise(0.0) + F.size(x["hits"]) * W["fulltext_token"]
+        return F.struct(score.alias("fulltext_score"), x["hits"].alias("token_hits"), snippet.alias("snippet"))
+
+    # zero or one match per text, exploded: the texts are searched once, not once more for a filter
+    match = F.transform(F.array(F.struct(hits.alias("hits"), phrase.alias("phrase"))), finish)
+    return texts.select("paper_id", F.explode(F.filter(match, lambda m: m["fulltext_score"] > 0)).alias("m")).select(
+        "paper_id", "m.*")
 
 
 def fulltext_lines(texts: DataFrame, q: QueryText, lines_per_text: int = 2, max_patterns: int = 12) -> DataFrame:

@@ -626,7 +626,7 @@ def record_detail(spark, sf):
     return d.select("paper_id", "bibtex_key", F.col("record.match_status").alias("record_status"), F.length(key).alias("key_chars"))
 
 
-@query("bib_journals_normalized", S.with_registry(f"""SELECT ord, {S.venue("replace(replace(venue_raw, '{{', ''), '}}', '')")} AS journal FROM bibv WHERE NOT book""", _BIBV))
+@query("bib_journals_normalized", S.with_registry(f"""SELECT ord, {S.venue("replace(replace(venue_raw, '{', ''), '}', '')")} AS journal FROM bibv WHERE NOT book""", _BIBV))
 def bib_journals_normalized(spark, sf):
     plain = _parsed(spark, sf).filter("entry_type = 'article'").withColumn("fields", F.transform_values(
         "fields", lambda k, v: F.regexp_replace(v, r"^\{|\}$", "")))
