@@ -18,13 +18,18 @@ def spread_blank(key: Column, by: Column) -> Column:
     return F.when((key == "") | key.isNull(), F.concat(F.lit("\u0001"), F.xxhash64(by).cast("string"))).otherwise(key)
 
 
-def split_lookup(left: DataFrame, right: DataFrame, key: str, heavy_rows: int = HEAVY_ROWS) -> DataFrame:
+def split_lookup(left: DataFrame, right: DataFrame, key: str, heavy_rows: int = HEAVY_ROWS,
+                 rows: int | None = None) -> DataFrame:
     """Left outer join to a table whose ``key`` is unique, safe for any key distribution.
 
     The at most ``HEAVY_KEYS`` most frequent keys of the left side (counted with map-side
     combine) are joined by broadcasting their few right rows; all other keys hold less than
-    a thousandth of the rows each and take the shuffle join.  No row is dropped.
+    a thousandth of the rows each and take the shuffle join.  No row is dropped.  When the caller
+    knows that the left side has no more than ``heavy_rows`` rows, no key can be heavy and the plain
+    join is used.
     """
+    if rows is not None and rows <= heavy_rows:
+        return left.join(right, key, "left")
     heavy = (
         left.groupBy(key).agg(F.count("*").alias("n")).filter(F.col("n") > heavy_rows)
         .orderBy(F.col("n").desc()).limit(HEAVY_KEYS).select(key)
