@@ -14,8 +14,8 @@ from . import kernel
 cloudpickle.register_pickle_by_value(kernel)
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-#: slots of the membership bitmap; the broadcast is ``SLOTS / 8`` bytes (8 MB) at any input size
-SLOTS = 1 << 26
+#: slots of the membership bitmap; the broadcast is ``SLOTS / 8`` bytes (1 MB) at any input size
+SLOTS = 1 << 23
 
 __all__ = ["UPPER", "arrow_map", "ascii_lower", "materialize", "maybe_member", "private"]
 
@@ -41,7 +41,7 @@ def _slot(key: Column) -> Column:
 def maybe_member(df: DataFrame, key: Column, keys: DataFrame, other: Column) -> DataFrame:
     """Rows of ``df`` whose key may be among ``keys``: all that are, and few others.
 
-    The keys are folded into a bitmap of fixed size (8 MB), which is broadcast; so the filter costs no shuffle of
+    The keys are folded into a bitmap of fixed size (1 MB), which is broadcast; so the filter costs no shuffle of
     ``df`` and its size does not follow the data.  Where the bitmap fills up the filter only gets weaker: the exact
     join that follows decides.  Null keys are never members.
     """
