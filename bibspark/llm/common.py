@@ -4,14 +4,10 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterable
 
-from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from . import kernel
-
-cloudpickle.register_pickle_by_value(kernel)
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: slots of the membership bitmap; the broadcast is ``SLOTS / 8`` bytes (1 MB) at any input size

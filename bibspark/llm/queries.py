@@ -1,9 +1,10 @@
 """Registered queries of the subpackage and their SQL twins."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import exact_dedup
+from . import exact_dedup, langid, packing, urls
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -22,6 +23,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fold(c: str, folds: int) -> Column:
+    """crc32 of the id as text, modulo ``folds``; a null id counts as empty text."""
+    return F.pmod(F.crc32(F.coalesce(F.col(c).cast("string"), F.lit(""))), F.lit(folds))
+
+
 LOWER_SQL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
@@ -32,3 +38,32 @@ SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc
 FROM t WINDOW w AS (PARTITION BY norm)""")
 def op1_exact_dedup(spark, sf_dir):
     return exact_dedup.dedup_groups(table(spark, sf_dir, "documents"))
+
+
+@query("op5_language_id")
+def op5_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    held = fold("doc_id", 4) == 2
+    return langid.identify(docs, ~held).select("doc_id", held.alias("held_out"), "lang_pred", "score", "rejected")
+
+
+#: fixed values of the registered query: (action, host, path)
+URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"),
+             ("block", "net", "/fr/")]
+
+
+@query("op10_url_filter")
+def op10_url_filter(spark, sf_dir):
+    return urls.judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+def vocabulary(name: str) -> bytes:
+    """Bytes of a public tokenizer's file, read on the driver; executors get them with the tasks."""
+    import public_tokenizers
+    with open(public_tokenizers.path(name), "rb") as f:
+        return f.read()
+
+
+@query("op2_best_fit_packing")
+def op2_best_fit_packing(spark, sf_dir):
+    return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
