@@ -123,10 +123,8 @@ def windows(h: np.ndarray, k: int) -> np.ndarray:
 
 def short(h: np.ndarray) -> np.ndarray:
     """Hash of a whole sequence shorter than a window."""
-    total = U64(len(h)) * U64(STEP[13])
-    for t, x in enumerate(h):
-        total = total + x * U64(STEP[t % 12])
-    return mix(np.array([total], U64))
+    steps = np.array([STEP[t % 12] for t in range(len(h))], U64)
+    return mix(np.array([len(h)], U64) * U64(STEP[13]) + (h * steps).sum(dtype=U64))
 
 
 def shingle_sets(words: Words, k: int):

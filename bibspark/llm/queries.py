@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, langid, packing, urls
+from . import exact_dedup, jaccard, langid, packing, urls
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -67,3 +67,8 @@ def vocabulary(name: str) -> bytes:
 @query("op2_best_fit_packing")
 def op2_best_fit_packing(spark, sf_dir):
     return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
+@query("op6_jaccard_join")
+def op6_jaccard_join(spark, sf_dir):
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "n_links")
