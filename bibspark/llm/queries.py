@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, jaccard, langid, packing, urls
+from . import exact_dedup, jaccard, langid, licenses, lm, packing, urls
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -72,3 +72,16 @@ def op2_best_fit_packing(spark, sf_dir):
 @query("op6_jaccard_join")
 def op6_jaccard_join(spark, sf_dir):
     return jaccard.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "n_links")
+
+
+@query("op4_license_scan")
+def op4_license_scan(spark, sf_dir):
+    return licenses.scan_licenses(table(spark, sf_dir, "documents")).drop("spans")
+
+
+@query("op3_lm_score")
+def op3_lm_score(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    held = fold("doc_id", 7) == 2
+    scored = lm.score_texts(docs, ~held)
+    return scored.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
