@@ -34,12 +34,12 @@ def _slot(key: Column) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(SLOTS)) + 1
 
 
-def maybe_member(df: DataFrame, key: Column, keys: DataFrame, other: Column) -> DataFrame:
+def maybe_member(df: DataFrame, key: Column, keys: DataFrame, other: Column, negate: bool = False) -> DataFrame:
     """Rows of ``df`` whose key may be among ``keys``: all that are, and few others.
 
     The keys are folded into a bitmap of fixed size (1 MB), which is broadcast; so the filter costs no shuffle of
     ``df`` and its size does not follow the data.  Where the bitmap fills up the filter only gets weaker: the exact
-    join that follows decides.  Null keys are never members.
+    join that follows decides.  Null keys are never members.  ``negate`` gives the other rows.
     """
     bucket, bits = private("bucket"), private("bits")
     bitmap = (keys.filter(other.isNotNull()).select(_slot(other).alias("s")).groupBy(F.bitmap_bucket_number("s").alias(bucket))
@@ -47,5 +47,8 @@ def maybe_member(df: DataFrame, key: Column, keys: DataFrame, other: Column) ->
     place = F.bitmap_bit_position(_slot(key))
     byte = F.conv(F.hex(F.substring(F.col(bits), (place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     hit = F.call_function("bit_get", byte, F.pmod(place, F.lit(8)).cast("int")) == 1
+    if negate:
+        joined = df.join(F.broadcast(bitmap), F.bitmap_bucket_number(_slot(key)) == F.col(bucket), "left")
+        return joined.filter(~F.coalesce(hit, F.lit(False))).drop(bucket, bits)
     return (df.filter(key.isNotNull()).join(F.broadcast(bitmap), F.bitmap_bucket_number(_slot(key)) == F.col(bucket))
             .filter(hit).drop(bucket, bits))

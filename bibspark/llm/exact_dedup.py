@@ -65,10 +65,10 @@ def dedup_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns; rows that repeat one id and text are one row."""
     groups = dedup_groups(docs, id_col, text_col)
-    marks = groups.filter("kept").select(F.col(id_col).alias("kept_id"), F.col("text_sha256").alias("kept_sha"))
-    sha = private("sha")
+    sha, kept_id, kept_sha = private("sha"), private("id"), private("kept")
+    marks = groups.filter("kept").select(F.col(id_col).alias(kept_id), F.col("text_sha256").alias(kept_sha))
     keyed = docs.withColumn(sha, F.sha2(ascii_lower(F.col(text_col)), 256))
-    out = keyed.join(marks, F.col(sha).eqNullSafe(F.col("kept_sha")) & F.col(id_col).eqNullSafe(F.col("kept_id")), "left_semi")
+    out = keyed.join(marks, F.col(sha).eqNullSafe(F.col(kept_sha)) & F.col(id_col).eqNullSafe(F.col(kept_id)), "left_semi")
     repeated = groups.groupBy(id_col, "text_sha256").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
     if not repeated.isEmpty():
         out = out.dropDuplicates([id_col, sha])

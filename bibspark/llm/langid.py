@@ -184,35 +184,49 @@ def identify(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: s
     return out.withColumnRenamed("id", id_col)
 
 
+def judge(model: Model, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Number of the language (the last is unknown), score and rejection of each text."""
+    best, score, reject = [np.zeros(0, np.int64)], [np.zeros(0)], [np.zeros(0, bool)]
+    for w, h, pick, inverse, letters in slices_of(column, kernel.SLICE_BYTES):
+        z, n = np.zeros((len(pick), model.table.shape[1]), np.float32), np.zeros(len(pick))
+        for a in range(0, len(pick), 50_000):  # distinct words, a bounded number at a time
+            part = pick[a:a + 50_000]
+            owner, bucket = word_buckets(w, part, h)
+            n[a:a + len(part)] = np.bincount(owner, minlength=len(part))
+            for c in range(z.shape[1]):
+                z[a:a + len(part), c] = np.bincount(owner, model.table[bucket, c], len(part))
+        rows = len(w.counts)
+        row_of = np.repeat(np.arange(rows), w.counts)
+        total = np.maximum(np.bincount(row_of, n[inverse], rows), 1)
+        logits = np.stack([np.bincount(row_of, z[inverse, c], rows) for c in range(z.shape[1])], 1) / total[:, None]
+        p = softmax(logits * model.scale)
+        ok = letters & bool(model.langs)
+        top = np.where(ok, p.max(1), 0.0)
+        best.append(np.where(ok, p.argmax(1), len(model.langs)))
+        score.append(top)
+        reject.append(~ok | (top < model.floor))
+    return np.concatenate(best), np.concatenate(score), np.concatenate(reject)
+
+
 def predictor(model: Model):
     """Arrow function over ``(id, t)``."""
     names = np.array([*model.langs, UNKNOWN], dtype=object)
 
     def predict(batches):
         for b in batches:
-            column = b.column(b.schema.get_field_index("t"))
-            best, score, reject = [], [], []
-            for w, h, pick, inverse, letters in slices_of(column, kernel.SLICE_BYTES):
-                z, n = np.zeros((len(pick), model.table.shape[1]), np.float32), np.zeros(len(pick))
-                for a in range(0, len(pick), 50_000):  # distinct words, a bounded number at a time
-                    part = pick[a:a + 50_000]
-                    owner, bucket = word_buckets(w, part, h)
-                    n[a:a + len(part)] = np.bincount(owner, minlength=len(part))
-                    for c in range(z.shape[1]):
-                        z[a:a + len(part), c] = np.bincount(owner, model.table[bucket, c], len(part))
-                rows = len(w.counts)
-                row_of = np.repeat(np.arange(rows), w.counts)
-                total = np.maximum(np.bincount(row_of, n[inverse], rows), 1)
-                logits = np.stack([np.bincount(row_of, z[inverse, c], rows) for c in range(z.shape[1])], 1) / total[:, None]
-                p = softmax(logits * model.scale)
-                ok = letters & bool(model.langs)
-                best.append(np.where(ok, p.argmax(1), len(model.langs)))
-                top = np.where(ok, p.max(1), 0.0)
-                score.append(top)
-                reject.append(~ok | (top < model.floor))
-            if best:
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(b.schema.get_field_index("id")), pa.array(names[np.concatenate(best)].tolist(), pa.string()),
-                     pa.array(np.concatenate(score)), pa.array(np.concatenate(reject))], ["id", "lang_pred", "score", "rejected"])
-
+            best, score, reject = judge(model, b.column(1))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names[best].tolist(), pa.string()), pa.array(score), pa.array(reject)],
+                                             ["id", "lang_pred", "score", "rejected"])
     return predict
+
+
+def keep_identified(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of ``docs`` whose text is not rejected, with all their columns."""
+    model = fit(*train_sample(docs, text_col, lang_col, F.col(id_col), learn))
+    at = docs.columns.index(text_col)
+
+    def keep(batches):
+        for b in batches:
+            yield b.filter(pa.array(~judge(model, b.column(at))[2]))
+
+    return docs.mapInArrow(keep, docs.schema)

@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, jaccard, langid, licenses, lm, packing, urls
+from . import ann, exact_dedup, jaccard, langid, licenses, lm, packing, pii, urls
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -85,3 +85,18 @@ def op3_lm_score(spark, sf_dir):
     held = fold("doc_id", 7) == 2
     scored = lm.score_texts(docs, ~held)
     return scored.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@query("op8_nearest_neighbours")
+def op8_nearest_neighbours(spark, sf_dir):
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+#: the key of the registered query and of the pipeline; a deployment passes its own secret
+PII_KEY = b"surrogate-key-for-tests"
+
+
+@query("op9_pii_surrogates")
+def op9_pii_surrogates(spark, sf_dir):
+    out = pii.with_surrogates(table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
+    return out.select("doc_id", "text", F.size("pii_kinds").alias("n_entities"), F.concat_ws(",", F.array_sort(F.array_distinct("pii_kinds"))).alias("kinds"))
