@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, exact_dedup, jaccard, langid, licenses, lm, packing, pii, urls
+from . import ann, exact_dedup, jaccard, langid, licenses, lm, packing, pieces, pii, urls
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -100,3 +100,14 @@ PII_KEY = b"surrogate-key-for-tests"
 def op9_pii_surrogates(spark, sf_dir):
     out = pii.with_surrogates(table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
     return out.select("doc_id", "text", F.size("pii_kinds").alias("n_entities"), F.concat_ws(",", F.array_sort(F.array_distinct("pii_kinds"))).alias("kinds"))
+
+
+@query("op7_sentencepiece")
+def op7_sentencepiece(spark, sf_dir):
+    """Tokens of every turn of ``conversations`` and whether they decode to its text."""
+    import public_tokenizers
+    model = pieces.read_model(public_tokenizers.path("piece_bpe_32k.model"))
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    both = pieces.decode(pieces.encode(turns, model), model)
+    return both.select("conv_id", "turn", "ids", F.size("ids").cast("long").alias("n_tokens"),
+                       (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
