@@ -11,10 +11,12 @@ import hashlib
 import hmac
 import re
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import kernel
 from .common import arrow_map, materialize, maybe_member, private
 
 # fixed values: titles by the gender they tell, and given names
@@ -51,8 +53,30 @@ PATTERNS = [
 FIND = re.compile("|".join(f"(?P<{kind}>{p})" for kind, p in PATTERNS))
 
 
+#: every find holds a digit, an ``@`` or one of these; texts without are not looked at
+STARTS = [*TITLE_GENDER, *GENDER, "AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "sk-", "xox"]
+TRIGGER = re.compile("|".join(sorted(map(re.escape, STARTS), key=len, reverse=True)).encode())
+PAIRS = np.zeros(1 << 16, bool)
+PAIRS[[w.encode()[0] * 256 + w.encode()[1] for w in STARTS]] = True
+SIGNS = np.zeros(256, bool)
+SIGNS[[*range(48, 58), 64]] = True
+
+
 # --- detection -----------------------------------------------------------------------------
 
+def suspects(column: pa.Array) -> np.ndarray:
+    """Places of the texts that may hold a find."""
+    offsets, raw = kernel.utf8(column)
+    flags = np.zeros(len(offsets), bool)
+    for i, j in kernel.slices(offsets):
+        part = raw[offsets[i]:offsets[j]]
+        pairs = np.flatnonzero(PAIRS[part[:-1].astype(np.uint16) * np.uint16(256) + part[1:]]).tolist() if len(part) > 1 else []
+        text = part.tobytes()
+        at = [np.flatnonzero(SIGNS[part]), np.array([p for p in pairs if TRIGGER.match(text, p)], np.int64)]
+        flags[np.searchsorted(offsets[i:j + 1] - offsets[i], np.concatenate(at), "right") - 1 + i] = True
+    return np.flatnonzero(flags[:-1])
+
+
 def luhn(digits: str) -> bool:
     total = 0
     for i, d in enumerate(reversed(digits)):
@@ -202,7 +226,8 @@ def replace(text: str, key: bytes, attempts: dict[tuple[str, str], int]) -> tupl
 def found_in(batches):
     """``(x, kind, canonical)`` of the finds of ``(x, text)``, once for each text of a batch."""
     for b in batches:
-        rows = {(x, kind, canonical) for x, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if text
+        some = b.take(pa.array(suspects(b.column(1))))
+        rows = {(x, kind, canonical) for x, text in zip(some.column(0).to_pylist(), some.column(1).to_pylist())
                 for kind, _, _, canonical in entities(text)}
         if rows:
             x, kind, canonical = zip(*sorted(rows))
@@ -221,12 +246,22 @@ def derived(key: bytes):
 def replaced(key: bytes, names: list[str], text_at: int, found: str, with_attempts: bool):
     def run(batches):
         for b in batches:
-            columns, texts = b.columns, b.column(text_at).to_pylist()
-            extra = b.column(len(names)).to_pylist() if with_attempts else [None] * len(texts)
-            results = [replace(t, key, {(e["kind"], e["canonical"]): e["attempt"] for e in a or []}) if t else (t, []) for t, a in zip(texts, extra)]
-            columns = list(columns[:len(names)])
-            columns[text_at] = pa.array([t for t, _ in results], pa.string())
-            yield pa.RecordBatch.from_arrays([*columns, pa.array([k for _, k in results], pa.list_(pa.string()))], [*names, found])
+            column = b.column(text_at)
+            kinds: list[list[str]] = [[]] * b.num_rows
+            places, new = [], []
+            for i in suspects(column).tolist():
+                tries = b.column(len(names))[i].as_py() if with_attempts else None
+                text, found_kinds = replace(column[i].as_py(), key, {(e["kind"], e["canonical"]): e["attempt"] for e in tries or []})
+                if found_kinds:
+                    kinds[i] = found_kinds
+                    places.append(i)
+                    new.append(text)
+            columns = list(b.columns[:len(names)])
+            if places:  # changed texts take their places among the others
+                order = np.arange(b.num_rows)
+                order[places] = b.num_rows + np.arange(len(places))
+                columns[text_at] = pa.concat_arrays([column.cast(pa.large_string()), pa.array(new, pa.large_string())]).take(pa.array(order)).cast(column.type)
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(kinds, pa.list_(pa.string()))], [*names, found])
     return run
 
 
