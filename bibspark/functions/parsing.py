@@ -75,9 +75,10 @@ def first_page(text: ColumnLike) -> Column:
         F.substring(t, 1, 6000))
 
 
-def text_lines(text: ColumnLike, max_chars: int = 5000) -> Column:
-    """Lines of the front matter that can carry a title."""
-    raw = F.split(F.substring(T.blank(text), 1, max_chars),
+def text_lines(text: ColumnLike, max_chars: int | None = None) -> Column:
+    """Lines that can carry a title; of the whole text, or of its first ``max_chars`` characters."""
+    whole = T.blank(text)
+    raw = F.split(whole if max_chars is None else F.substring(whole, 1, max_chars),
                   r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]")
     lines = F.filter(F.transform(raw, T.strip), lambda x: x != "")
     shouting = rf"^[A-Z{K.SPACE}&,:;.\-]{{3,}}$"
@@ -108,12 +109,16 @@ def title_prefix(line: ColumnLike) -> Column:
         _prefix_before(t, authors), _prefix_before(t, r"(?U)[.?!:]\s+[A-Z]"), t))
 
 
-def title_candidates(text: ColumnLike, limit: int = 4) -> Column:
-    """Up to four title guesses from the front matter, in order of appearance."""
-    return titles_from_lines(text_lines(text), limit)
+def title_candidates(text: ColumnLike, limit: int = 4, max_chars: int | None = None) -> Column:
+    """The ``limit`` best title guesses: front lines, stitched front lines, then all further lines, in order of appearance.
+
+    ``max_chars`` restricts the search to the front matter.
+    """
+    return titles_from_lines(text_lines(text, max_chars), limit)
 
 
-def titles_from_lines(lines: Column, limit: int = 4) -> Column:
+def titles_from_lines(lines: Column, limit: int = 4, front: int = 25, stitched_lines: int = 8) -> Column:
+    """``front`` and ``stitched_lines`` tell how many lines rank as front matter; the others rank behind."""
     no_et_al = lambda x: ~F.contains(F.lower(x), F.lit("et al"))
     n_words = T.word_count
     sections = (r"(?iU)\b(?:abstract|summary|introduction|significance|results|supporting information|"
@@ -127,11 +132,12 @@ def titles_from_lines(lines: Column, limit: int = 4) -> Column:
             F.when((prefix != x) & n_words(prefix).between(5, 25) & no_et_al(prefix), prefix), as_line)))
 
     def collect(ls: Column) -> Column:
-        single = F.flatten(F.transform(F.slice(ls, 1, 25), from_line))
-        top = F.filter(F.slice(ls, 1, 8), lambda x: n_words(x) >= 2)
-        pairs = T.let(top, lambda t: F.zip_with(t, F.slice(t, 2, 8), lambda a, b: T.titleish(F.concat(a, F.lit(" "), b))))
+        single = F.flatten(F.transform(F.slice(ls, 1, front), from_line))
+        rest = F.flatten(F.transform(F.slice(ls, front + 1, F.greatest(F.size(ls), F.lit(1))), from_line))
+        top = F.filter(F.slice(ls, 1, stitched_lines), lambda x: n_words(x) >= 2)
+        pairs = T.let(top, lambda t: F.zip_with(t, F.slice(t, 2, stitched_lines), lambda a, b: T.titleish(F.concat(a, F.lit(" "), b))))
         stitched = F.filter(pairs, lambda x: x.isNotNull() & n_words(x).between(6, 20) & no_et_al(x))
-        return F.slice(F.array_distinct(F.concat(single, stitched)), 1, limit)
+        return F.slice(F.array_distinct(F.concat(single, stitched, rest)), 1, limit)
 
     return T.let(lines, collect)
 
@@ -171,7 +177,7 @@ def _doi_details(region: str, base: float, order: int, text: Column) -> Column:
 def doi_candidates(text: ColumnLike, filename: ColumnLike) -> Column:
     """DOI candidates of a document, best first.
 
-    Four windows are searched; per DOI the window with the highest priority and the earliest
+    Four windows and the whole text are searched; per DOI the region with the highest priority and the earliest
     position stays.  Ties between DOIs go to the larger string.
     """
     t = T.blank(text)
@@ -179,7 +185,8 @@ def doi_candidates(text: ColumnLike, filename: ColumnLike) -> Column:
         _doi_details("filename", 0.2, 0, T.blank(filename)),
         _doi_details("first_page", 0.45, 1, first_page(t)),
         _doi_details("front_window", 0.35, 2, F.substring(t, 1, 6000)),
-        _doi_details("broad_window", 0.15, 3, F.substring(t, 1, 20000)))
+        _doi_details("broad_window", 0.15, 3, F.substring(t, 1, 20000)),
+        _doi_details("body", 0.05, 4, t))
     best_of = lambda all_: F.transform(
         F.array_distinct(F.transform(all_, lambda x: x["doi"])),
         lambda d: F.array_max(F.filter(all_, lambda x: x["doi"] == d)))

@@ -65,22 +65,21 @@ def _contract(edges: DataFrame, order: Column | None) -> DataFrame:
     )
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """``(node, component)`` for every node of an edge list; ``component`` is the smallest node.
 
     Contraction: each round maps every node to its smallest neighbour and replaces the edges by
     edges between the images, so nodes and edges shrink together.  Odd rounds order by node id
     (stars collapse at once), even rounds by a fresh hash (long chains halve in expectation).
     The maps are composed from the smallest back to the first.  Each round is written to the
-    shared folder, which cuts the lineage.
+    shared folder, which cuts the lineage.  Every round maps all nodes but the smallest of their neighbourhood to another
+    one, so each component loses at least half of its nodes and the rounds end by themselves.
     """
     left = materialize(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
                        .distinct(), "edges")
     # row counts of written tables come from file footers; they tell whether a key can be heavy at all
     maps: list[DataFrame] = []
     while (n := left.count()) > 0:
-        if len(maps) >= max_rounds:
-            raise RuntimeError("components did not converge")
         seed = len(maps)
         order = (lambda c: c) if seed % 2 == 0 else (lambda c: F.xxhash64(c, F.lit(seed)))
         step = materialize(_contract(left, order), "labels")

@@ -15,9 +15,11 @@ from ..functions import names as N
 from ..functions import nested as V
 from ..functions import parsing as P
 from ..functions import text as T
+from ..session import materialize
 from .chunks import chunk_texts, stub_text
 from .index import row_title, with_defaults
 from .joins import spread_blank, split_lookup, unique_keys
+from .linkage import connected_components
 from .quality import filename_looks_bad, filename_looks_downloaded, filename_needs_touchup, is_supplement
 
 
@@ -103,10 +105,12 @@ class Merge:
 def merge_pairs(registry: DataFrame, pairs: DataFrame, force: bool = False) -> Merge:
     """Merge ``pairs(keep_id, drop_id)``: blanks of the kept row are filled, dropped rows disappear.
 
-    Refused are pairs of a row with itself, pairs that share nothing, and supplements dropped into a
-    main paper.  Several drops of one row fill blanks in ``drop`` row order.
+    Refused are pairs of a row with itself, pairs that share nothing, supplements dropped into a main paper, all but the
+    first keeper of a row that is dropped twice (``already_dropped``), and, where pairs run in a circle, the pair that
+    drops the circle's first row (``keep_is_dropped``).  Chains end in one survivor: the row that no pair drops.  The
+    survivor of several rows is filled from them in row order; it always stays, so no value is lost.
     """
-    j = pairs.join(_as_struct(registry, "k", "keep_id"), "keep_id", "left").join(
+    j = pairs.distinct().join(_as_struct(registry, "k", "keep_id"), "keep_id", "left").join(
         _as_struct(registry, "d", "drop_id"), "drop_id", "left")
     reason = F.when(F.col("keep_id") == F.col("drop_id"), "same_row").when(
         F.col("k").isNull() | F.col("d").isNull(), "unknown_row")
@@ -114,17 +118,32 @@ def merge_pairs(registry: DataFrame, pairs: DataFrame, force: bool = False) -> M
         reason = reason.when(F.size("signals") == 0, "no_shared_identity").when(
             F.col("d.supplement") & ~F.col("k.supplement"), "drop_is_supplement")
     j = j.withColumn("signals", identity_signals()).withColumn("reason", reason)
+    j = materialize(j.select("keep_id", "drop_id", "signals", "reason", F.col("k.row_ord").alias("keep_ord"), F.col("d.row_ord").alias("drop_ord")), "pairs")
+    # one keeper for each dropped row: the first in row order
     good = j.filter("reason is null")
+    keeper = good.groupBy("drop_id").agg(F.min_by("keep_id", F.struct("keep_ord", "keep_id")).alias("first_keep"))
+    good = good.join(keeper, "drop_id")
+    twice = good.filter("keep_id <> first_keep").select("keep_id", "drop_id", F.lit("already_dropped").alias("reason"))
+    good = good.filter("keep_id = first_keep").drop("first_keep")
+    # one survivor for each connected group: the row that is never dropped, else the first
+    members = connected_components(good.select(F.col("keep_ord").alias("a"), F.col("drop_ord").alias("b")))
+    dropped = good.select(F.col("drop_ord").alias("node"), F.lit(True).alias("goes"))
+    survivor = members.join(dropped, "node", "left").groupBy("component").agg(
+        F.coalesce(F.min(F.when(F.col("goes").isNull(), F.col("node"))), F.min("node")).alias("survivor_ord"))
+    groups = materialize(good.join(members.withColumnRenamed("node", "drop_ord"), "drop_ord").join(survivor, "component"), "merge-groups")
+    circle = groups.filter("drop_ord = survivor_ord").select("keep_id", "drop_id", F.lit("keep_is_dropped").alias("reason"))
+    groups = groups.filter("drop_ord <> survivor_ord")
     # first filled value over the dropped rows, field by field; constant-size aggregates
-    firsts = [F.min_by(T.clean_text(F.col(f"d.{c}")), F.when(T.clean_text(F.col(f"d.{c}")) != "", F.col("d.row_ord")))
-              .alias(f"_{c}") for c in MERGED_FIELDS]
-    fill = good.groupBy(F.col("keep_id").alias("paper_id")).agg(*firsts)
-    kept = delete_rows(registry, good.select(F.col("drop_id").alias("paper_id"))).join(fill, "paper_id", "left")
+    source = groups.select("drop_ord", "survivor_ord").join(registry.withColumnRenamed("row_ord", "drop_ord"), "drop_ord")
+    firsts = [F.min_by(T.clean_text(c), F.when(T.clean_text(c) != "", F.col("drop_ord"))).alias(f"_{c}") for c in MERGED_FIELDS]
+    fill = source.groupBy(F.col("survivor_ord").alias("row_ord")).agg(*firsts)
+    kept = delete_rows(registry, groups.select(F.col("drop_id").alias("paper_id"))).join(fill, "row_ord", "left")
     # a row that stays as it is keeps even its "no value" words
     value = lambda c: F.when(T.clean_text(c) != "", F.col(c)).otherwise(F.coalesce(F.col(f"_{c}"), F.col(c)))
     out = kept.select(*[value(c).alias(c) if c in MERGED_FIELDS else F.col(c) for c in registry.columns])
-    return Merge(out, j.filter("reason is not null").select("keep_id", "drop_id", "reason"),
-                 good.select("keep_id", "drop_id", "signals"))
+    refused = j.filter("reason is not null").select("keep_id", "drop_id", "reason").unionByName(twice).unionByName(circle)
+    names = registry.select(F.col("row_ord").alias("survivor_ord"), F.col("paper_id").alias("survivor_id"))
+    return Merge(out, refused, groups.join(names, "survivor_ord").select(F.col("survivor_id").alias("keep_id"), "drop_id", "signals"))
 
 
 def merge_records(records: DataFrame, merged: DataFrame, timestamp: Column | None = None) -> DataFrame:

@@ -34,14 +34,14 @@ def _joined(fields: list[str], clean: bool) -> Column:
     return F.concat_ws(" ", *parts)
 
 
-def is_supplement(variant: str = "audit", text: str = "text") -> Column:
+def is_supplement(variant: str = "audit", text: str = "text", max_chars: int | None = None) -> Column:
     """Supplement detection.
 
     ``audit``     word pattern over names, titles and notes, or the linked status
     ``merge``     marker list that also looks at notes and status
     ``reconcile`` marker list over names, titles and status
     ``bib``       short marker list
-    ``file``      file name or the first 1500 characters of the text
+    ``file``      file name, or the text (its first ``max_chars`` characters, if given)
     """
     names = ["filename", "pdf_path", "resolved_title", "title_query"]
     if variant == "audit":
@@ -54,8 +54,8 @@ def is_supplement(variant: str = "audit", text: str = "text") -> Column:
     if variant == "bib":
         return _any_of(T.casefold(_joined(names + ["match_status"], False)), K.SUPPLEMENT_TOKENS_BIB)
     if variant == "file":
-        return T.blank("filename").rlike(r"(?iU)\b(?:SI|supp|supplement|supplementary|SM)\b") | F.substring(
-            text, 1, 1500).rlike(
+        body = F.col(text) if max_chars is None else F.substring(text, 1, max_chars)
+        return T.blank("filename").rlike(r"(?iU)\b(?:SI|supp|supplement|supplementary|SM)\b") | body.rlike(
             r"(?iU)\b(?:supporting information|supplementary information|supplementary materials)\b")
     raise ValueError(variant)
 

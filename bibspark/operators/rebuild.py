@@ -17,7 +17,8 @@ from .resolve import resolve_dois
 
 
 def _relative(path: Column, root: str) -> Column:
-    return F.regexp_replace(T.blank(path), "^" + root.rstrip("/") + "/", "")
+    head = root.rstrip("/") + "/"
+    return F.when(F.startswith(T.blank(path), F.lit(head)), F.substring(T.blank(path), len(head) + 1, 1 << 30)).otherwise(T.blank(path))
 
 
 def rows_from_records(records: DataFrame, registry: DataFrame, parsed_bib: DataFrame, root: str = "/library") -> DataFrame:

@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
@@ -186,10 +187,11 @@ def fulltext_document(texts: DataFrame, q: QueryText) -> DataFrame:
         "paper_id", "m.*")
 
 
-def fulltext_lines(texts: DataFrame, q: QueryText, lines_per_text: int = 2, max_patterns: int = 12) -> DataFrame:
+def fulltext_lines(texts: DataFrame, q: QueryText, lines_per_text: int = 2, max_patterns: int | None = None) -> DataFrame:
     """Line matches: the first matching lines of each text, scored per line and summed.
 
-    The limit of lines and patterns is the feature; it is applied inside the row.
+    The limit of lines is the feature; it is applied inside the row.  All query words are used unless ``max_patterns``
+    names how many.
     """
     patterns = sorted(q.tokens)[:max_patterns] or [re.escape(q.text)]
     line_rx = F.lit("(?i)" + "|".join(patterns))
@@ -254,11 +256,13 @@ def search(index: DataFrame, query: str, filters: Filters = Filters(), *, texts:
 def search_many(index: DataFrame, queries: list[str], limit: int = 10, no_abstract: bool = False) -> DataFrame:
     """Several queries in one pass over the index.
 
-    The queries are a short list held by the caller.  Each row carries one score per
-    query; the rank filter keeps ``limit`` rows per query and task before the shuffle.
+    The queries are a list held by the caller; longer ones are taken 64 at a time, which keeps the generated code small.
+    Each row carries one score per query; the rank filter keeps ``limit`` rows per query and task before the shuffle.
     """
     if len(queries) > 64:
-        raise ValueError("search_many takes at most 64 queries; call it in groups")
+        groups = [search_many(index, queries[i:i + 64], limit, no_abstract).withColumn("query_id", F.col("query_id") + i)
+                  for i in range(0, len(queries), 64)]
+        return reduce(DataFrame.unionByName, groups)
 
     def total(text: str) -> Column:
         parts = score_parts(QueryText(text), not no_abstract)

@@ -727,13 +727,14 @@ def reference_stubs(spark, sf):
 
 
 _PLANTED = """planted AS (SELECT doc_id, 'doc-' || doc_id AS paper_id, 'Name' || (doc_id % 97) || ' ' || (1980 + n_chars % 45) || ' NatGenet - '
-    || regexp_replace(substr(head, 1, 60), '[/]', ' ', 'g') || '.pdf' AS filename,
+    || regexp_replace(head, '[/]', ' ', 'g') || '.pdf' AS filename,
   CASE WHEN doc_id % 3 = 1 THEN head || chr(10) || 'https://doi.org/' || pd || substr(text, length(head) + 1)
     WHEN doc_id % 3 = 2 THEN text || chr(10) || 'References' || chr(10) || 'cited by doi: ' || pd || '. 10.1234/abc.' ELSE text END AS text
   FROM (SELECT *, split_part(text, chr(10), 1) AS head, '10.1234/abc.' || lpad(doc_id::VARCHAR, 6, '0') AS pd FROM documents))"""
 _DOIS = f"""windows AS (SELECT paper_id, 'filename' AS region, 0.2 AS base, 0 AS w, filename AS t FROM planted
     UNION ALL SELECT paper_id, 'first_page', 0.45, 1, substr(text, 1, 6000) FROM planted UNION ALL SELECT paper_id, 'front_window', 0.35, 2, substr(text, 1, 6000) FROM planted
-    UNION ALL SELECT paper_id, 'broad_window', 0.15, 3, substr(text, 1, 20000) FROM planted),
+    UNION ALL SELECT paper_id, 'broad_window', 0.15, 3, substr(text, 1, 20000) FROM planted
+    UNION ALL SELECT paper_id, 'body', 0.05, 4, text FROM planted),
   raw AS (SELECT DISTINCT * FROM (SELECT *, regexp_replace(unnest(regexp_extract_all(t, '(?i)\\b10\\.[0-9]{{4,9}}/[-._;()/:A-Z0-9]+\\b')), '[.,);\\]]+$', '') AS d FROM windows)),
   placed AS (SELECT *, strpos(lower(t), lower(d)) - 1 AS pos FROM raw WHERE length(regexp_replace(d, '^[^/]*/', '')) >= 8 AND regexp_matches(regexp_replace(d, '^[^/]*/', ''), '[0-9]')),
   ctx AS (SELECT *, lower({S.squeeze('substr(t, greatest(0, pos - 90) + 1, pos + length(d) + 90 - greatest(0, pos - 90))')}) AS low FROM placed),
@@ -834,7 +835,7 @@ _RETRIEVED = f"""cands AS (SELECT 'C' || row_ord AS id, t, CASE WHEN year = 'n/a
         WHEN row_ord % 3 = 1 THEN title_query ELSE array_to_string(list_reverse(string_split(title_query, ' ')), ' ') END AS t FROM registry)),
   tn AS (SELECT tn, {S.tokens('tn')} AS tt FROM (SELECT DISTINCT tn FROM cands WHERE tn <> '')),
   qn AS (SELECT qn, {S.tokens('qn')} AS qt FROM (SELECT DISTINCT {S.norm('title_query')} AS qn FROM registry) WHERE qn <> ''),
-  pairs AS (SELECT qn, tn, s FROM (SELECT qn.qn, tn.tn, {S.sim('qn.qn', 'tn.tn', 'qt', 'tt')} AS s FROM qn, tn) WHERE s >= 0.7),
+  pairs AS (SELECT qn, tn, s FROM (SELECT qn.qn, tn.tn, {S.sim('qn.qn', 'tn.tn', 'qt', 'tt')} AS s FROM qn, tn) WHERE s >= 0.63),
   pool AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY tn ORDER BY id) AS k FROM cands WHERE tn <> '') WHERE k <= 10),
   found AS (SELECT * FROM (SELECT p.qn, p.s, c.id, c.cy, c.t, row_number() OVER (PARTITION BY p.qn ORDER BY p.s DESC, c.id) AS n FROM pairs p JOIN pool c USING (tn)) WHERE n <= 10)"""
 

@@ -153,7 +153,7 @@ REGISTRY = """registry AS (
     CASE WHEN doc_id % 9 = 0 THEN '' ELSE 'chunks/doc-' || doc_id || '.jsonl' END AS chunk_path,
     '' AS abstract_source, '' AS date_indexed,
     CASE WHEN doc_id % 37 = 3 THEN 'see supporting information' ELSE '' END AS notes, doc_id AS row_ord, lang
-  FROM (SELECT *, substr(trim(regexp_replace(split_part(text, chr(10), 1), '\\s+', ' ', 'g')), 1, 120) AS line,
+  FROM (SELECT *, trim(regexp_replace(split_part(text, chr(10), 1), '\\s+', ' ', 'g')) AS line,
           'doc_' || doc_id || CASE WHEN doc_id % 25 = 7 THEN ' - SI' ELSE '' END || '.pdf' AS fn,
           CASE WHEN doc_id % 31 = 4 THEN 'n/a' ELSE (1980 + n_chars % 45)::VARCHAR END AS yr FROM documents))"""
 

@@ -28,7 +28,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """23 registry columns plus ``row_ord`` and ``lang``."""
     d = F.col("doc_id")
-    line = F.substring(F.trim(F.regexp_replace(F.substring_index("text", "\n", 1), r"\s+", " ")), 1, 120)
+    line = F.trim(F.regexp_replace(F.substring_index("text", "\n", 1), r"\s+", " "))
     filename = F.concat(F.lit("doc_"), _s(d), F.when(d % 25 == 7, " - SI").otherwise(""), F.lit(".pdf"))
     k = d - F.when(d % 50 == 3, 1).otherwise(0)
     year = F.when(d % 31 == 4, "n/a").otherwise(_s(F.lit(1980) + F.col("n_chars") % 45))
@@ -91,8 +91,7 @@ def planted_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).select(
         F.concat(F.lit("doc-"), _s(d)).alias("paper_id"),
         F.concat(F.lit("Name"), _s(d % 97), F.lit(" "), _s(F.lit(1980) + F.col("n_chars") % 45),
-                 F.lit(" NatGenet - "), F.regexp_replace(F.substring(F.substring_index("text", "\n", 1), 1, 60),
-                                                         "[/]", " "), F.lit(".pdf")).alias("filename"),
+                 F.lit(" NatGenet - "), F.regexp_replace(F.substring_index("text", "\n", 1), "[/]", " "), F.lit(".pdf")).alias("filename"),
         text.alias("text"),
     )
 

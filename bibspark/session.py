@@ -1,6 +1,7 @@
 """Session helpers: checkpoint location and lineage cuts."""
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -27,6 +28,29 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+_written: list[str] = []
+
+
+def _delete_at_end(spark: SparkSession, path: str) -> None:
+    """Have the driver delete an intermediate table when its program ends.
+
+    Lazy results may read the table until then, so it cannot go earlier.
+    """
+    if not _written:
+        atexit.register(_delete_written, spark)
+    _written.append(path)
+
+
+def _delete_written(spark: SparkSession) -> None:
+    try:
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        for path in _written:
+            folder = jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(conf).delete(folder, True)
+    except Exception:  # noqa: BLE001 - the session may be gone already; the folder is scratch
+        pass
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
@@ -35,17 +59,17 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch_path(spark, label)
+    _delete_at_end(spark, path)
     schema = df.schema
     df.write.parquet(path)
     return spark.read.schema(schema).parquet(path)
 
 
 def spread_scan(scan: DataFrame) -> DataFrame:
-    """Spread a scan that has fewer splits than the session has cores.
+    """Spread a scan over the cores of a *local* session; on a cluster the scan stays as it is, without a shuffle.
 
-    Text work is bound by CPU; a small file with one row group would keep a single core busy.  Scans
-    of large tables have far more splits than cores and stay as they are, without a shuffle.
-    Only for plain scans: counting splits plans the frame.
+    The local test tables have one row group each, which would keep a single core busy.
     """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+    context = scan.sparkSession.sparkContext
+    local = context.master.startswith("local") and not context.master.startswith("local-cluster")
+    return scan.repartition(context.defaultParallelism) if local else scan

@@ -3,7 +3,7 @@ from __future__ import annotations
 
 import time
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
@@ -18,10 +18,24 @@ TSV = {"sep": "\t", "header": True, "quote": '"', "escape": '"', "multiLine": Tr
 def read_registry_tsv(spark: SparkSession, path: str) -> DataFrame:
     """Registry import: tab separated, quotes doubled, line breaks inside values allowed.
 
-    ``row_ord`` numbers the rows in file order.
+    ``row_ord`` numbers the rows in file order, files in the order of their paths.
     """
     raw = spark.read.options(**TSV).schema(schemas.REGISTRY).csv(path)
-    return with_defaults(raw.na.fill("").withColumn("row_ord", F.monotonically_increasing_id()))
+    return with_defaults(in_file_order(raw, "row_ord").na.fill(""))
+
+
+def in_file_order(scan: DataFrame, name: str) -> DataFrame:
+    """Number the rows of a file scan by path, place of the split in the file, and place in the split.
+
+    Spark packs splits into tasks by size, so its own row ids do not follow the files.  Only one number a split is
+    gathered; the rows are not sorted.
+    """
+    part = F.struct(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"))
+    rows = scan.select("*", part.alias("_part"), F.monotonically_increasing_id().alias("_id"))
+    splits = rows.groupBy("_part").agg(F.count("*").alias("_n"), F.min("_id").alias("_first"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shifts = splits.select("_part", (before - F.col("_first")).alias("_shift"))
+    return rows.join(shifts, "_part").withColumn(name, F.col("_id") + F.col("_shift")).drop("_part", "_id", "_shift")
 
 
 def write_registry_tsv(registry: DataFrame, path: str) -> None:
@@ -69,7 +83,9 @@ def write_records(records: DataFrame, path: str, root: str) -> None:
 
 
 def relative(path: Column, root: str) -> Column:
-    return F.regexp_replace(path, "^" + root.rstrip("/") + "/", "")
+    """``path`` without ``root`` in front; the root is plain text, not a pattern."""
+    head = root.rstrip("/") + "/"
+    return F.when(F.startswith(path, F.lit(head)), F.substring(path, len(head) + 1, 1 << 30)).otherwise(path)
 
 
 def absolute(path: Column, root: str) -> Column:
@@ -117,7 +133,7 @@ def _below(path: Column, root: str) -> Column:
     """Path relative to ``root``; file URIs carry a scheme that the given root may not have."""
     bare = F.regexp_replace(path, "^[a-z0-9]+:/*", "/")
     stem = root.split(":", 1)[-1] if ":" in root else root
-    return F.regexp_replace(bare, "^/*" + stem.strip("/") + "/", "")
+    return relative(bare, "/" + stem.strip("/"))
 
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
@@ -139,8 +155,8 @@ def read_bibliography(spark: SparkSession, path: str) -> DataFrame:
     """
     lines = spark.read.option("lineSep", "\n@").text(path)
     body = T.strip("value")
-    return lines.select(
-        F.monotonically_increasing_id().alias("ord"),
+    return in_file_order(lines, "ord").select(
+        "ord",
         F.when(F.startswith(body, F.lit("@")), body).otherwise(F.concat(F.lit("@"), body)).alias("raw")).filter(body != "")
 
 
@@ -151,8 +167,8 @@ def write_bibliography(entries: DataFrame, path: str, single_file: bool = False)
 
 
 def read_journals(spark: SparkSession, path: str) -> DataFrame:
-    raw = spark.read.options(**TSV).schema(schemas.JOURNALS).csv(path).na.fill("")
-    return raw.withColumn("ord", F.monotonically_increasing_id())
+    raw = in_file_order(spark.read.options(**TSV).schema(schemas.JOURNALS).csv(path), "ord").na.fill("")
+    return raw
 
 
 # --- logs -----------------------------------------------------------------------------------

@@ -1,11 +1,14 @@
 """Incremental ingest with Structured Streaming, and its batch form.
 
-The registry is kept as one folder per micro-batch (``batch=<id>``).  A batch writes only its own
-folder, in overwrite mode, so a batch that runs again after a failure replaces its own output and
-nothing else.
+The registry is kept as one folder per micro-batch.  The folder's name is a hash of the stream's own id and the batch id,
+so a batch that runs again after a failure replaces its own output and nothing else, and a stream with a new checkpoint,
+whose batch ids start again at 0, never meets the folders of an earlier one.  The order of batches is a running number
+``seq`` in the rows; a batch that runs again keeps its number.
 """
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T_
@@ -32,47 +35,78 @@ def select_for_ingest(files: DataFrame, registry: DataFrame, force: bool = False
             .filter(F.col("reason").isNotNull()).drop("_status"))
 
 
-def read_registry(spark: SparkSession, root: str, before: int | None = None) -> DataFrame:
-    """Current registry: per id the row of the latest batch."""
+def _deltas(spark: SparkSession, root: str) -> DataFrame | None:
     try:
-        deltas = spark.read.option("basePath", root).parquet(root)
+        return spark.read.option("basePath", root).parquet(root)
     except Exception as problem:
         if "PATH_NOT_FOUND" not in str(problem) and "UNABLE_TO_INFER_SCHEMA" not in str(problem):
             raise
+        return None
+
+
+def read_registry(spark: SparkSession, root: str, before: int | None = None) -> DataFrame:
+    """Current registry: per id the row of the latest batch, or of the latest one whose number is below ``before``."""
+    deltas = _deltas(spark, root)
+    if deltas is None:
         schema = T_.StructType([*[T_.StructField(c, T_.StringType()) for c in K.REGISTRY_FIELDS],
                                 T_.StructField("row_ord", T_.LongType())])
         return spark.createDataFrame([], schema)
     if before is not None:
-        deltas = deltas.filter(F.col("batch") < before)
+        deltas = deltas.filter(F.col("seq") < before)
     cols = [c for c in DELTA_COLUMNS if c != "paper_id"]
-    latest = deltas.groupBy("paper_id").agg(F.max_by(F.struct(*cols), "batch").alias("r"))
+    latest = deltas.groupBy("paper_id").agg(F.max_by(F.struct(*cols), "seq").alias("r"))
     return latest.select(*[F.col("paper_id") if c == "paper_id" else F.col(f"r.{c}").alias(c) for c in DELTA_COLUMNS])
 
 
+def batch_folder(stream_id: str, batch_id: int) -> str:
+    return "part=" + hashlib.sha256(f"{stream_id}|{batch_id}".encode()).hexdigest()[:24]
+
+
+def _number(spark: SparkSession, root: str, folder: str) -> int:
+    """The batch's own running number if it ran before, else the next one."""
+    deltas = _deltas(spark, root)
+    if deltas is None:
+        return 0
+    own = F.when(F.col("part").cast("string") == folder.removeprefix("part="), F.col("seq"))
+    last, mine = deltas.agg(F.max("seq"), F.max(own)).first()
+    return mine if mine is not None else 0 if last is None else last + 1
+
+
 def ingest_batch(incoming: DataFrame, registry_root: str, batch_id: int, chunk_root: str | None = None,
-                 log_root: str | None = None) -> None:
+                 log_root: str | None = None, stream_id: str = "") -> None:
     """Add one batch of ``incoming(ord, path, text, s2_id, title, authors, year, venue, doi, url)``."""
     spark = incoming.sparkSession
-    registry = read_registry(spark, registry_root, before=batch_id)
+    folder = batch_folder(stream_id, batch_id)
+    seq = _number(spark, registry_root, folder)
+    registry = read_registry(spark, registry_root, before=seq)
     added = add_files(registry, incoming, K.API_CHUNK_CHARS, K.API_CHUNK_OVERLAP)
-    out = f"{registry_root}/batch={batch_id}"
-    added.rows.select(*DELTA_COLUMNS).write.mode("overwrite").parquet(out)
+    out = f"{registry_root}/{folder}"
+    added.rows.select(*DELTA_COLUMNS, F.lit(seq).cast("long").alias("seq")).write.mode("overwrite").parquet(out)
     if chunk_root:
-        added.chunks.write.mode("overwrite").parquet(f"{chunk_root}/batch={batch_id}")
+        added.chunks.write.mode("overwrite").parquet(f"{chunk_root}/{folder}")
     if log_root:
         counts = added.skipped.groupBy("reason").agg(F.count("*").alias("n")).unionByName(
             spark.read.parquet(out).agg(F.count("*").alias("n")).select(F.lit("added").alias("reason"), "n"))
-        counts.write.mode("overwrite").json(f"{log_root}/batch={batch_id}")
+        counts.write.mode("overwrite").json(f"{log_root}/{folder}")
+
+
+def compact_registry(spark: SparkSession, root: str, target: str) -> None:
+    """Write the current registry as the first batch of a new root, so that later batches fold one folder less each."""
+    current = read_registry(spark, root)
+    current.withColumn("seq", F.lit(0).cast("long")).write.mode("overwrite").parquet(f"{target}/{batch_folder('compacted', 0)}")
 
 
 def start_ingest(stream: DataFrame, to_incoming, registry_root: str, checkpoint: str, chunk_root: str | None = None,
                  log_root: str | None = None):
     """Process everything new since the last run, then stop.
 
-    ``to_incoming`` maps a batch of the source to the columns :func:`ingest_batch` takes.
+    ``to_incoming`` maps a batch of the source to the columns :func:`ingest_batch` takes.  The stream's id is the one that
+    Spark keeps in the checkpoint.
     """
     def handle(batch: DataFrame, batch_id: int) -> None:
-        ingest_batch(to_incoming(batch), registry_root, batch_id, chunk_root, log_root)
+        spark = batch.sparkSession
+        stream_id = spark.read.schema("id string").json(f"{checkpoint.rstrip('/')}/metadata").first()[0]
+        ingest_batch(to_incoming(batch), registry_root, batch_id, chunk_root, log_root, stream_id)
 
     return (stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())

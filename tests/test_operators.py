@@ -4,8 +4,10 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from bibspark import constants as K
+from bibspark.functions import parsing as P
 from bibspark.functions import text as T
-from bibspark.operators import accept, bib, cite, joins, linkage, maintain, quality, rebuild, resolve, similarity
+from bibspark.operators import accept, bib, cite, index, joins, linkage, maintain, quality, rebuild, resolve, search, similarity
 from bibspark.plans import views as V
 from bibspark.session import materialize
 
@@ -223,3 +225,70 @@ def test_refresh_refuses_losses(spark, sf):
 def test_outcome_counts(spark, sf):
     got = quality.outcome_counts(V.registry(spark, sf), pdf=F.col("content_kind") == "pdf_backed").first()
     assert (got.total, got.pdf) == (200, 180)
+
+
+def _merge_rows(spark):
+    rows = [(f"p{i}", f"10.1/same", f"title {i}" if i > 1 else "", "note three" if i == 3 else "", i) for i in range(1, 6)]
+    r = spark.createDataFrame(rows, "paper_id string, doi string, resolved_title string, notes string, row_ord bigint")
+    for c in K.REGISTRY_FIELDS:
+        if c not in r.columns:
+            r = r.withColumn(c, F.lit(""))
+    return r
+
+
+def _merged(spark, pairs):
+    m = maintain.merge_pairs(_merge_rows(spark), spark.createDataFrame(pairs, "keep_id string, drop_id string"))
+    rows = {x.paper_id: (x.resolved_title, x.notes) for x in m.registry.collect()}
+    return rows, sorted((x.keep_id, x.drop_id, x.reason) for x in m.refused.collect()), sorted((x.keep_id, x.drop_id) for x in m.merged.collect())
+
+
+def test_merge_chain_ends_in_one_survivor(spark):
+    rows, refused, merged = _merged(spark, [("p1", "p2"), ("p2", "p3")])
+    assert set(rows) == {"p1", "p4", "p5"} and rows["p1"] == ("title 2", "note three")
+    assert refused == [] and merged == [("p1", "p2"), ("p1", "p3")]
+
+
+def test_merge_circle_keeps_its_first_row(spark):
+    rows, refused, _ = _merged(spark, [("p1", "p2"), ("p2", "p1")])
+    assert set(rows) == {"p1", "p3", "p4", "p5"} and rows["p1"][0] == "title 2"
+    assert refused == [("p2", "p1", "keep_is_dropped")]
+
+
+def test_merge_of_one_row_into_two_takes_the_first(spark):
+    rows, refused, merged = _merged(spark, [("p4", "p3"), ("p1", "p3"), ("p1", "p1"), ("p1", "p9")])
+    assert set(rows) == {"p1", "p2", "p4", "p5"} and rows["p1"][1] == "note three" and rows["p4"][1] == ""
+    assert ("p4", "p3", "already_dropped") in refused and merged == [("p1", "p3")]
+
+
+def test_repeated_works_give_one_attempt(spark, sf):
+    facts = resolve.with_text_facts(V.planted_texts(spark, sf)).filter("size(doi_candidates) > 0").limit(40)
+    works = V.works(spark, sf)
+    once, twice = resolve.resolve_dois(facts, works), resolve.resolve_dois(facts, works.unionByName(works))
+    assert once.count() == twice.count() and once.select("paper_id", "decision").exceptAll(twice.select("paper_id", "decision")).isEmpty()
+
+
+def test_similar_titles_reach_down_to_reviewable_scores(spark):
+    long = " ".join(f"word{i}" for i in range(1000))
+    left = spark.createDataFrame([("alpha beta gamma delta",), (long,)], "q string")
+    right = spark.createDataFrame([("alpha beta gamma omega sigma",), ("zeta",), (long + " tail",)], "t string")
+    got = {(r.q_norm[:10], r.t_norm[:10]): r.similarity for r in similarity.similar_titles(left, "q", right, "t", 0.6).collect()}
+    assert got[("alpha beta", "alpha beta")] == pytest.approx(0.65 * 3 / 4 + 0.35 * 3 / 6) and got[("word0 word", "word0 word")] == 0.92
+    from bibspark.functions import text as TT
+    from bibspark.operators.similarity import _frequencies, _lengths, _signatures, _titles, _with_ranked_words
+    a, b = _titles(left, "q"), _titles(right, "t")
+    f = _frequencies(a, b)
+    assert _signatures(_with_ranked_words(a, f), 0.6, True, _lengths(_with_ranked_words(b, f))).filter("size(toks) = 1000").count() < 2000
+
+
+def test_dois_behind_every_window_are_found(spark):
+    text = "x " * 12_000 + "see doi: 10.1234/abc.000042 here"
+    d = spark.createDataFrame([(text, "f.pdf")], "text string, filename string")
+    row = d.select(P.doi_candidates("text", "filename").alias("c")).first()
+    assert [(c.doi, c.source_region) for c in row.c] == [("10.1234/abc.000042", "body")]
+
+
+def test_search_takes_more_queries_than_fit_one_pass(spark, sf):
+    ix = index.build_search_index(V.registry(spark, sf), None, V.journals(spark, sf))
+    words = [r.w for r in V.registry(spark, sf).select(F.regexp_extract(F.lower("resolved_title"), "[a-z]+", 0).alias("w")).filter("w <> ''").distinct().limit(70).collect()]
+    got = search.search_many(ix, words, limit=1)
+    assert got.select("query_id").distinct().count() > 64

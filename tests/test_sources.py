@@ -99,3 +99,33 @@ def test_stream_equals_batch_and_reruns_are_safe(spark, sf, tmp_path):
     assert again.count() == len(once)
     G.ingest_batch(items(docs), f"{base}/reg2", 1)
     assert G.read_registry(spark, f"{base}/reg2").count() == len(once)
+
+
+def test_two_checkpoints_share_one_registry(spark, sf, tmp_path):
+    docs, base = V.documents(spark, sf), str(tmp_path)
+    counts = []
+    for part in (0, 1):
+        docs.filter(F.col("doc_id") % 2 == part).write.parquet(f"{base}/in{part}")
+        stream = spark.readStream.schema(docs.schema).parquet(f"{base}/in{part}")
+        G.start_ingest(stream, items, f"{base}/reg", f"{base}/cp{part}").awaitTermination()
+        counts.append(G.read_registry(spark, f"{base}/reg").count())
+    assert counts == [docs.filter("doc_id % 2 = 0").select("text").distinct().count(), docs.select("text").distinct().count()]
+    G.compact_registry(spark, f"{base}/reg", f"{base}/new")
+    assert G.read_registry(spark, f"{base}/new").exceptAll(G.read_registry(spark, f"{base}/reg")).isEmpty()
+
+
+def test_rows_are_numbered_in_file_order(spark, sf, tmp_path):
+    r = V.registry_only(spark, sf)
+    for name, rows in (("a.tsv", r.filter("paper_id = 'doc-199'")), ("b.tsv", r.filter("row_ord < 50") if "row_ord" in r.columns else r.limit(50))):
+        S.write_registry_tsv(rows.coalesce(1), str(tmp_path / f"out-{name}"))
+        part = next((tmp_path / f"out-{name}").glob("part-*"))
+        (tmp_path / "in").mkdir(exist_ok=True)
+        (tmp_path / "in" / name).write_bytes(part.read_bytes())
+    got = S.read_registry_tsv(spark, str(tmp_path / "in")).orderBy("row_ord").collect()
+    assert got[0].paper_id == "doc-199" and [x.row_ord for x in got] == list(range(len(got)))
+
+
+def test_roots_are_plain_text(spark):
+    d = spark.createDataFrame([("/data/a+b/x.pdf",), ("/data/aab/x.pdf",)], "p string")
+    from bibspark.sources import tables
+    assert [x[0] for x in d.select(tables.relative(F.col("p"), "/data/a+b")).collect()] == ["x.pdf", "/data/aab/x.pdf"]
