@@ -149,12 +149,9 @@ def work_metadata(spark, sf):
 # --- search -----------------------------------------------------------------------------
 
 def search_index(spark, sf) -> DataFrame:
-    """Index over the registry view; the second line of a text is its abstract."""
+    """Index over the registry view; the second line of a text is its abstract, taken in the same scan."""
     second = F.coalesce(F.try_element_at(F.split("text", "\n", 3), F.lit(2)), F.lit(""))
-    abstracts = V.documents(spark, sf).select(
-        F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("paper_id"), second.alias("abstract"))
-    r = V.registry(spark, sf).join(abstracts, "paper_id")
-    return materialize(index.build_search_index(r, None, V.journals(spark, sf)), "search_index")
+    return index.build_search_index(V.registry(spark, sf, second.alias("abstract")), None, V.journals(spark, sf))
 
 
 def _search_oracle(text: str, where: str, limit: int, columns: str = "paper_id, title, year, score", abstract: bool = True) -> str:
@@ -1116,3 +1113,6 @@ def incremental_ingest(spark, sf):
         stream = spark.readStream.schema(d.schema).parquet(f"{base}/in")
         G.start_ingest(stream, to_incoming, f"{base}/registry", f"{base}/checkpoint").awaitTermination()
     return G.read_registry(spark, f"{base}/registry").select("paper_id", "pdf_sha256")
+
+
+from . import more_queries  # noqa: E402, F401 - registers its queries here

@@ -25,8 +25,8 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
-def registry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """23 registry columns plus ``row_ord`` and ``lang``."""
+def registry(spark: SparkSession, sf_dir: str, *more: Column) -> DataFrame:
+    """23 registry columns plus ``row_ord`` and ``lang``, and ``more`` columns of the documents."""
     d = F.col("doc_id")
     line = F.trim(F.regexp_replace(F.substring_index("text", "\n", 1), r"\s+", " "))
     filename = F.concat(F.lit("doc_"), _s(d), F.when(d % 25 == 7, " - SI").otherwise(""), F.lit(".pdf"))
@@ -64,7 +64,7 @@ def registry(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("").alias("date_indexed"),
         F.when(d % 37 == 3, "see supporting information").otherwise("").alias("notes"),
         d.alias("row_ord"),
-        F.col("lang"),
+        F.col("lang"), *more,
     )
 
 
