@@ -124,13 +124,16 @@ def merge_pairs(registry: DataFrame, pairs: DataFrame, force: bool = False) -> M
     keeper = good.groupBy("drop_id").agg(F.min_by("keep_id", F.struct("keep_ord", "keep_id")).alias("first_keep"))
     good = good.join(keeper, "drop_id")
     twice = good.filter("keep_id <> first_keep").select("keep_id", "drop_id", F.lit("already_dropped").alias("reason"))
-    good = good.filter("keep_id = first_keep").drop("first_keep")
-    # one survivor for each connected group: the row that is never dropped, else the first
-    members = connected_components(good.select(F.col("keep_ord").alias("a"), F.col("drop_ord").alias("b")))
-    dropped = good.select(F.col("drop_ord").alias("node"), F.lit(True).alias("goes"))
-    survivor = members.join(dropped, "node", "left").groupBy("component").agg(
-        F.coalesce(F.min(F.when(F.col("goes").isNull(), F.col("node"))), F.min("node")).alias("survivor_ord"))
-    groups = materialize(good.join(members.withColumnRenamed("node", "drop_ord"), "drop_ord").join(survivor, "component"), "merge-groups")
+    good = materialize(good.filter("keep_id = first_keep").drop("first_keep"), "merge-pairs")
+    if good.join(good.select(F.col("drop_id").alias("keep_id")), "keep_id", "left_semi").isEmpty():
+        groups = good.withColumn("survivor_ord", F.col("keep_ord"))  # no row is both kept and dropped
+    else:
+        # one survivor for each connected group: the row that is never dropped, else the first
+        members = connected_components(good.select(F.col("keep_ord").alias("a"), F.col("drop_ord").alias("b")))
+        dropped = good.select(F.col("drop_ord").alias("node"), F.lit(True).alias("goes"))
+        survivor = members.join(dropped, "node", "left").groupBy("component").agg(
+            F.coalesce(F.min(F.when(F.col("goes").isNull(), F.col("node"))), F.min("node")).alias("survivor_ord"))
+        groups = materialize(good.join(members.withColumnRenamed("node", "drop_ord"), "drop_ord").join(survivor, "component"), "merge-groups")
     circle = groups.filter("drop_ord = survivor_ord").select("keep_id", "drop_id", F.lit("keep_is_dropped").alias("reason"))
     groups = groups.filter("drop_ord <> survivor_ord")
     # first filled value over the dropped rows, field by field; constant-size aggregates
