@@ -84,7 +84,7 @@ class Words:
             np.not_equal(inside[1:], inside[:-1], out=edge[1:-1])
         # a word never runs over the end of its row
         cut = first[1:]
-        cut = cut[(cut > 0) & (cut < len(inside))]
+        cut = np.unique(cut[(cut > 0) & (cut < len(inside))])  # empty rows repeat a place
         cut = cut[inside[cut] & inside[cut - 1]]
         turns = np.flatnonzero(edge)
         if len(cut):

@@ -86,12 +86,14 @@ def sample_matrix(texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
-def train(rows: list, labels: np.ndarray, n_langs: int, epochs: int = 6, rate: float = 0.5, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
+def train(rows: list, labels: np.ndarray, n_langs: int, least_epochs: int = 6, least_steps: int = 1000, rate: float = 0.5, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
     """Embeddings and softmax layer by mini-batch gradient descent with a falling rate."""
     rng = np.random.default_rng(seed)
     emb = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM)).astype(np.float32)
     top = np.zeros((DIM, n_langs), np.float32)
-    size, steps, done = 16, epochs * (len(rows) // 16 + 1), 0
+    size, done = 16, 0
+    epochs = max(least_epochs, -(-least_steps * size // max(len(rows), 1)))
+    steps = epochs * (len(rows) // size + 1)
     for _ in range(epochs):
         order = rng.permutation(len(rows))
         for k in range(0, len(order), size):

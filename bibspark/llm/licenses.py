@@ -108,8 +108,9 @@ def verify(batches):
                 same = sum(m.size for m in difflib.SequenceMatcher(None, here, words, False).get_matching_blocks())
                 if same >= COVER * len(words):
                     kept.append({"label": label, "first": first, "last": last, "cover": same / len(words)})
-            notices, chosen = sorted((k for k in kept if k["label"] not in PHRASES.values()), key=lambda k: (-k["cover"], k["first"], k["label"])), []
-            for k in notices:  # of notices that overlap, the one that is covered best
+            size = {label: len(words) for words, label, _ in known.values()}
+            notices, chosen = sorted((k for k in kept if k["label"] not in PHRASES.values()), key=lambda k: (-k["cover"] * size[k["label"]], k["first"], k["label"])), []
+            for k in notices:  # of notices that overlap, the one with the most words in place
                 if all(k["first"] >= c["last"] or c["first"] >= k["last"] for c in chosen):
                     chosen.append(k)
             kept = [k for k in kept if k["label"] in PHRASES.values() or k in chosen]

@@ -36,7 +36,8 @@ class WordEncoder:
 
     The vocabulary drops white space and never joins tokens across it, so a text's ids are its words' ids in a row.
     ASCII punctuation other than the apostrophe splits off a letter or digit before it.  Words of plain letters are one
-    unit of the vocabulary each and end in a token that closes words, so many of them are encoded as one text.
+    unit of the vocabulary each and end in a token that closes words, so many of them are encoded as one text.  A text with
+    ``<|`` is encoded whole, as special tokens are found before anything is split.
     """
 
     def __init__(self, vocabulary: bytes):
@@ -73,12 +74,13 @@ class WordEncoder:
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        parts = [self.split(b" ", t.lower()).split() for t in texts]
+        whole = {i: self._ids([t.decode()])[0].tobytes() for i, t in enumerate(texts) if b"<|" in t}  # may hold special tokens
+        parts = [[] if i in whole else self.split(b" ", t.lower()).split() for i, t in enumerate(texts)]
         if len(self.known) > REMEMBERED:
             self.known = {}
         self.learn(list(set().union(*parts).difference(self.known)))
         known = self.known
-        return [b"".join([known[w] for w in p]) for p in parts]
+        return [whole[i] if i in whole else b"".join([known[w] for w in p]) for i, p in enumerate(parts)]
 
 
 def encoded(batches, vocabulary, capacity: int, with_ids: bool) -> Iterator[pa.RecordBatch]:
