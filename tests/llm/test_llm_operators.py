@@ -340,7 +340,7 @@ def mutants(seed, families=6, each=25):
 def test_jaccard_join_against_brute_force(spark, seed, rare):
     rows = mutants(seed)
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    assert got_components(df, jaccard.Rule(rare=rare, leaders=1)) == brute_components(rows)
+    assert got_components(df, jaccard.Rule(rare=rare)) == brute_components(rows)
 
 
 def test_jaccard_join_awkward_rows(awkward):
