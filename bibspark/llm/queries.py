@@ -71,7 +71,7 @@ def op2_best_fit_packing(spark, sf_dir):
 
 @query("op6_jaccard_join")
 def op6_jaccard_join(spark, sf_dir):
-    return jaccard.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "n_links")
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "n_links_found")
 
 
 @query("op4_license_scan")
