@@ -81,7 +81,7 @@ def sample_matrix(texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
             n = at[ids + 1] - at[ids]
             flat = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(at[ids], n)
             weight = np.bincount(bucket[flat], np.repeat(times, n), BUCKETS)
-            hot = np.flatnonzero(weight)
+            hot = np.flatnonzero(weight).astype(np.int32)
             out.append((hot, (weight[hot] / weight.sum()).astype(np.float32)))
     return out
 
