@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, exact_dedup, jaccard, langid, licenses, lm, packing, pieces, pii, urls
+from . import ann, exact_dedup, jaccard, langid, licenses, lm, packing, pieces, pii, runs, urls
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -111,3 +111,32 @@ def op7_sentencepiece(spark, sf_dir):
     both = pieces.decode(pieces.encode(turns, model), model)
     return both.select("conv_id", "turn", "ids", F.size("ids").cast("long").alias("n_tokens"),
                        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
+
+
+def with_repeats(docs: DataFrame) -> DataFrame:
+    """``doc_id, text``: every tenth text (by the crc32 of its id) goes on in a circle from one of its words.
+
+    With h the checksum, g = floor(h / 10) and n words, each word i >= a = g % n becomes word a + (i - a) % p,
+    p = 1 + floor((n - a) / (3 + g % 8)).
+    """
+    h = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    g = F.expr("_h div 10")
+    words = F.filter(F.split("text", "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
+    # texts outside the tenth are not split
+    d = docs.select("doc_id", "text", h.alias("_h")).withColumn("_w", F.when((F.col("_h") % 10 == 0) & F.col("text").isNotNull(), words))
+    d = d.withColumn("_n", F.size("_w").cast("long")).withColumn("_a", F.when(F.col("_n") > 0, g % F.greatest("_n", F.lit(1))))
+    d = d.withColumn("_p", F.expr("1 + (_n - _a) div (3 + (_h div 10) % 8)"))
+    turned = F.transform("_w", lambda w, i: F.when(i < F.col("_a"), w).otherwise(
+        F.get("_w", (F.col("_a") + (i - F.col("_a")) % F.col("_p")).cast("int"))))
+    return d.select("doc_id", F.when(F.col("_a").isNotNull(), F.array_join(turned, " ")).otherwise(F.col("text")).alias("text"))
+
+
+@query("op12_periodic_runs")
+def op12_periodic_runs(spark, sf_dir):
+    found = runs.find_runs(with_repeats(table(spark, sf_dir, "documents")))
+    best = F.col("best")
+    listed = F.transform("runs", lambda r: F.concat(F.concat_ws(",", *[r[x].cast("string") for x in ("start", "length", "period")]), F.lit("\n")))
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), best["start"].alias("start"), best["length"].alias("length"),
+        best["period"].alias("period"), F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(listed, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
