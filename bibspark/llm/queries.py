@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, exact_dedup, jaccard, langid, licenses, lm, packing, pieces, pii, runs, urls
+from . import ann, exact_dedup, jaccard, langid, licenses, lm, packing, pieces, pii, runs, topk, urls, whitening
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -140,3 +140,22 @@ def op12_periodic_runs(spark, sf_dir):
         "doc_id", F.size("runs").cast("long").alias("n_runs"), best["start"].alias("start"), best["length"].alias("length"),
         best["period"].alias("period"), F.expr("1000 * best.length div best.period").alias("exponent_milli"),
         F.sha2(F.array_join(listed, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+@query("op11_embedding_whitening")
+def op11_embedding_whitening(spark, sf_dir):
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+OP13_SQL = """
+WITH x AS (SELECT vec_id, list_transform(embedding, lambda c: floor(1024 * c::double)) AS v FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+r AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::bigint AS score
+      FROM x q JOIN x c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0),
+n AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM r)
+SELECT query_id, rank::integer AS rank, vec_id, score FROM n WHERE rank <= 10"""
+
+
+@query("op13_exact_topk", OP13_SQL)
+def op13_exact_topk(spark, sf_dir):
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
