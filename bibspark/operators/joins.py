@@ -6,8 +6,7 @@ from pyspark.sql import functions as F
 
 from ..session import materialize
 
-HEAVY_KEYS = 1000          # upper bound of the broadcast side in split_lookup
-HEAVY_ROWS = 200_000       # a key below this many rows is no problem for one task
+HOT_KEYS, SALTS = 1000, 32    # keys that split_lookup spreads, and over how many places
 
 
 def spread_blank(key: Column, by: Column) -> Column:
@@ -18,26 +17,20 @@ def spread_blank(key: Column, by: Column) -> Column:
     return F.when((key == "") | key.isNull(), F.concat(F.lit("\u0001"), F.xxhash64(by).cast("string"))).otherwise(key)
 
 
-def split_lookup(left: DataFrame, right: DataFrame, key: str, heavy_rows: int = HEAVY_ROWS,
-                 rows: int | None = None) -> DataFrame:
+def split_lookup(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """Left outer join to a table whose ``key`` is unique, safe for any key distribution.
 
-    The at most ``HEAVY_KEYS`` most frequent keys of the left side (counted with map-side
-    combine) are joined by broadcasting their few right rows; all other keys hold less than
-    a thousandth of the rows each and take the shuffle join.  No row is dropped.  When the caller
-    knows that the left side has no more than ``heavy_rows`` rows, no key can be heavy and the plain
-    join is used.
+    The ``HOT_KEYS`` most frequent keys of the left side (counted with map-side combine; their list is the only broadcast) get
+    one of ``SALTS`` salts in each left row, and their right rows are repeated for every salt.  All other keys hold less than a
+    thousandth of the rows each.  Rows without a key match nothing and are spread too.  No row is dropped.
     """
-    if rows is not None and rows <= heavy_rows:
-        return left.join(right, key, "left")
-    heavy = (
-        left.groupBy(key).agg(F.count("*").alias("n")).filter(F.col("n") > heavy_rows)
-        .orderBy(F.col("n").desc()).limit(HEAVY_KEYS).select(key)
-    )
-    heavy_right = F.broadcast(heavy.join(right, key, "left"))
-    hot = left.join(heavy_right, key)
-    cold = left.join(F.broadcast(heavy), key, "left_anti").join(right, key, "left")
-    return hot.select(*cold.columns).unionByName(cold)
+    salt, hot = "_salt", "_hot"
+    hottest = F.broadcast(left.groupBy(key).agg(F.count("*").alias(salt)).orderBy(F.col(salt).desc()).limit(HOT_KEYS).select(key, F.lit(True).alias(hot)))
+    salted = left.join(hottest, key, "left").withColumn(salt, F.when(
+        F.col(hot) | F.col(key).isNull(), F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(SALTS))).otherwise(0).cast("int")).drop(hot)
+    salts = F.when(F.col(hot), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    repeated = right.join(hottest, key, "left").withColumn(salt, F.explode(salts)).drop(hot)
+    return salted.join(repeated, [key, salt], "left").drop(salt)
 
 
 def rank_within(df: DataFrame, group: list[str], order: list[Column], name: str = "rank") -> DataFrame:

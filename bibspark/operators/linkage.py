@@ -77,16 +77,15 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """
     left = materialize(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
                        .distinct(), "edges")
-    # row counts of written tables come from file footers; they tell whether a key can be heavy at all
     maps: list[DataFrame] = []
-    while (n := left.count()) > 0:
+    while left.count():  # from the file footers
         seed = len(maps)
         order = (lambda c: c) if seed % 2 == 0 else (lambda c: F.xxhash64(c, F.lit(seed)))
         step = materialize(_contract(left, order), "labels")
         maps.append(step)
         la = step.select(F.col("node").alias("a"), F.col("label").alias("la"))
         lb = step.select(F.col("node").alias("b"), F.col("label").alias("lb"))
-        moved = split_lookup(split_lookup(left, la, "a", rows=n), lb, "b", rows=n).filter("la <> lb")
+        moved = split_lookup(split_lookup(left, la, "a"), lb, "b").filter("la <> lb")
         left = materialize(moved.select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")).distinct(),
                            "edges")
     if not maps:
@@ -95,10 +94,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
     for step in reversed(maps[:-1]):
         onward = roots.select(F.col("node").alias("label"), F.col("label").alias("root"))
         roots = materialize(
-            split_lookup(step, onward, "label", rows=step.count())
+            split_lookup(step, onward, "label")
             .select("node", F.coalesce("root", "label").alias("label")), "roots")
     smallest = roots.groupBy("label").agg(F.min(F.least("node", "label")).alias("component"))
-    return split_lookup(roots, smallest, "label", rows=roots.count()).select("node", "component")
+    return split_lookup(roots, smallest, "label").select("node", "component")
 
 
 def duplicate_members(rows: DataFrame, strict_compat: bool = False) -> DataFrame:

@@ -52,7 +52,7 @@ def test_split_lookup_matches_plain_join(spark):
     left = spark.range(400).select(F.col("id"), F.when(F.col("id") % 2 == 0, 1).otherwise(F.col("id") % 50).alias("k"))
     right = spark.range(0, 50, 3).select(F.col("id").alias("k"), (F.col("id") * 10).alias("v"))
     want = sorted(map(tuple, left.join(right, "k", "left").select("id", "k", "v").collect()))
-    got = sorted(map(tuple, joins.split_lookup(left, right, "k", heavy_rows=20).select("id", "k", "v").collect()))
+    got = sorted(map(tuple, joins.split_lookup(left, right, "k").select("id", "k", "v").collect()))
     assert got == want
 
 
@@ -273,11 +273,50 @@ def test_similar_titles_reach_down_to_reviewable_scores(spark):
     right = spark.createDataFrame([("alpha beta gamma omega sigma",), ("zeta",), (long + " tail",)], "t string")
     got = {(r.q_norm[:10], r.t_norm[:10]): r.similarity for r in similarity.similar_titles(left, "q", right, "t", 0.6).collect()}
     assert got[("alpha beta", "alpha beta")] == pytest.approx(0.65 * 3 / 4 + 0.35 * 3 / 6) and got[("word0 word", "word0 word")] == 0.92
-    from bibspark.functions import text as TT
-    from bibspark.operators.similarity import _frequencies, _lengths, _signatures, _titles, _with_ranked_words
-    a, b = _titles(left, "q"), _titles(right, "t")
-    f = _frequencies(a, b)
-    assert _signatures(_with_ranked_words(a, f), 0.6, True, _lengths(_with_ranked_words(b, f))).filter("size(toks) = 1000").count() < 2000
+
+
+def test_title_keys_are_prefixes(spark):
+    """A title of 3,000 words gives no more keys than its prefix, and no array is shuffled."""
+    long = " ".join(f"word{i}" for i in range(3000))
+    left = spark.createDataFrame([("alpha beta gamma delta",), (long,)], "q string")
+    right = spark.createDataFrame([("alpha beta gamma omega sigma",), (long + " tail",)], "t string")
+    for theta in (0.63, 0.7, 0.9):
+        prepared = similarity.prepare(left, "q", right, "t")
+        keys = similarity.title_keys(prepared.words, theta).groupBy("t", "size_t").count().collect()
+        assert {r.size_t for r in keys} == {5, 3001} and all(r["count"] <= r.size_t for r in keys)
+        asked = similarity.query_keys(prepared.words, theta, 3001).groupBy("q", "size_q").count().collect()
+        assert all(r["count"] <= 2 * (1 - theta) * r.size_q + 12 for r in asked)
+        shuffled = (prepared.titles, prepared.words, similarity.query_keys(prepared.words, theta, 3001), similarity.title_keys(prepared.words, theta),
+                    similarity.overlap_candidates(prepared.words, theta))
+        assert not any("array" in kind for frame in shuffled for _, kind in frame.dtypes)
+
+
+def test_containment_keys_miss_nothing(spark):
+    rnd = random.Random(3)
+    words = ["a", "ab", "abc", "bc", "c", "cab", "the", "of"]
+    titles = sorted({" ".join(rnd.choices(words, k=rnd.randint(1, 9))) for _ in range(250)})
+    df = spark.createDataFrame(list(enumerate(titles)), "id bigint, s string")
+    found = {(titles[r.small], titles[r.big]) for r in similarity.contained_pairs(df).collect()}
+    want = {(a, b) for a in titles for b in titles if a != b and a in b}
+    assert want <= found and len(found) < 0.6 * len(titles) ** 2
+
+
+@pytest.mark.parametrize("rounds", [(), (0.92,), (0.9, 0.75)])
+def test_candidates_by_descending_threshold(spark, rounds):
+    rnd = random.Random(6)
+    words = [f"w{i}" for i in range(14)]
+    make = lambda n: [" ".join(rnd.choices(words, k=rnd.randint(2, 7))) for _ in range(n)]
+    queries, titles = make(60), make(300)
+    titles += titles[:40] + queries[:5] * 3 + [""]
+    cands = [(f"C{i}", t) for i, t in enumerate(titles)]
+    from bibspark import constants as K
+    got = resolve.retrieve_candidates(spark.createDataFrame([(q,) for q in queries], "query string"),
+                                      spark.createDataFrame(cands, "paperId string, title string"), 4, 0.63, rounds).collect()
+    got = {r.q_norm: [(x.n, round(x.similarity, 6), x.c.paperId) for x in r.found] for r in got}
+    for q in set(queries):
+        scored = sorted((-python_similarity(q, t, K.STOP_WORDS), i) for i, t in cands if t)
+        want = [(n + 1, round(-s, 6), i) for n, (s, i) in enumerate([x for x in scored if -x[0] >= 0.63][:4])]
+        assert got.get(q, []) == want
 
 
 def test_dois_behind_every_window_are_found(spark):
