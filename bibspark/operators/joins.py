@@ -17,8 +17,8 @@ def spread_blank(key: Column, by: Column) -> Column:
     return F.when((key == "") | key.isNull(), F.concat(F.lit("\u0001"), F.xxhash64(by).cast("string"))).otherwise(key)
 
 
-def split_lookup(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
-    """Left outer join to a table whose ``key`` is unique, safe for any key distribution.
+def split_lookup(left: DataFrame, right: DataFrame, key: str, how: str = "left") -> DataFrame:
+    """Left outer (or inner) join that is safe for any distribution of the left keys.
 
     The ``HOT_KEYS`` most frequent keys of the left side (counted with map-side combine; their list is the only broadcast) get
     one of ``SALTS`` salts in each left row, and their right rows are repeated for every salt.  All other keys hold less than a
@@ -30,7 +30,7 @@ def split_lookup(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
         F.col(hot) | F.col(key).isNull(), F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(SALTS))).otherwise(0).cast("int")).drop(hot)
     salts = F.when(F.col(hot), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
     repeated = right.join(hottest, key, "left").withColumn(salt, F.explode(salts)).drop(hot)
-    return salted.join(repeated, [key, salt], "left").drop(salt)
+    return salted.join(repeated, [key, salt], how).drop(salt)
 
 
 def rank_within(df: DataFrame, group: list[str], order: list[Column], name: str = "rank") -> DataFrame:

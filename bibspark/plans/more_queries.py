@@ -9,11 +9,11 @@ from ..functions import names as N
 from ..functions import nested as NV
 from ..functions import parsing as P
 from ..functions import text as T
-from ..operators import bib, linkage, maintain, quality, search
+from ..operators import bib, linkage, maintain, quality, query_table, search
 from ..session import scratch_path
 from . import sql as S
 from . import views as V
-from .queries import _dups, _facts, joined, query, search_index
+from .queries import MANY, ORACLES, _dups, _facts, joined, query, search_index
 
 # --- sources ---------------------------------------------------------------------------------
 
@@ -148,3 +148,24 @@ _MERGED = ("resolved_title", "year", "venue", "doi", "notes")
   f"filled AS (SELECT g.s, {', '.join(f'''arg_min({S.clean('x.' + c)}, x.row_ord) FILTER ({S.clean('x.' + c)} <> '') AS {c}''' for c in _MERGED)} FROM gone g JOIN registry x ON x.row_ord = g.d GROUP BY g.s)"))
 def merge_chains(spark, sf):
     return maintain.merge_pairs(V.registry(spark, sf), _chains(spark, sf), force=True).registry.select("paper_id", *_MERGED)
+
+
+# --- search over tables of queries -------------------------------------------------------------
+
+
+@query("search_query_table", ORACLES["search_batch"])
+def search_query_table(spark, sf):
+    """The queries of ``search_batch`` as a table: inverted index, joins and partial aggregation instead of one expression per query."""
+    asked = spark.createDataFrame(list(enumerate(MANY)), "query_id int, query string")
+    return query_table.search_table(search_index(spark, sf), asked, 10).select(
+        "query_id", "paper_id", "score", F.col("rank").cast("bigint").alias("rank"))
+
+
+@query("search_every_title")
+def search_every_title(spark, sf):
+    """Every registry row asks with the first words of its title, its first author and its year."""
+    rows = V.registry(spark, sf)
+    asked = rows.select(F.col("row_ord").alias("query_id"), F.concat_ws(
+        " ", F.substring_index("title_query", " ", 4), F.substring_index("authors", ",", 1), "year").alias("query"))
+    return query_table.search_table(search_index(spark, sf), asked, 10).select(
+        "query_id", "paper_id", "score", F.col("rank").cast("bigint").alias("rank"))
