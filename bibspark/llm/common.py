@@ -13,7 +13,7 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: slots of the membership bitmap; the broadcast is ``SLOTS / 8`` bytes (1 MB) at any input size
 SLOTS = 1 << 23
 
-__all__ = ["UPPER", "arrow_map", "ascii_lower", "materialize", "maybe_member", "private"]
+__all__ = ["UPPER", "arrow_map", "ascii_lower", "give_back", "materialize", "maybe_member", "private"]
 
 
 def ascii_lower(c: Column) -> Column:
@@ -30,6 +30,16 @@ def arrow_map(df: DataFrame, fn: Callable[[Iterable], Iterable], schema: str) ->
     return df.mapInArrow(fn, schema)
 
 
+def give_back() -> None:
+    """Return free memory of a Python worker to the system; workers outlive their tasks."""
+    import ctypes
+
+    import pyarrow as pa
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc only
+        trim(0)
+
+
 def _slot(key: Column) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(SLOTS)) + 1
 

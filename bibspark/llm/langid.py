@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel
-from .common import arrow_map
+from .common import arrow_map, give_back
 
 BUCKETS = 1 << 16
 DIM = 16
@@ -225,10 +225,11 @@ def predictor(model: Model):
 def keep_identified(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The rows of ``docs`` whose text is not rejected, with all their columns."""
     model = fit(*train_sample(docs, text_col, lang_col, F.col(id_col), learn))
-    at = docs.columns.index(text_col)
 
-    def keep(batches):
-        for b in batches:
-            yield b.filter(pa.array(~judge(model, b.column(at))[2]))
+    def keep(texts: pa.Array) -> pa.Array:
+        good = pa.array(~judge(model, texts)[2])
+        give_back()
+        return good
 
-    return docs.mapInArrow(keep, docs.schema)
+    # texts alone go to the workers, the rows wait in the JVM
+    return docs.filter(F.arrow_udf(keep, "boolean")(F.col(f"`{text_col}`")))

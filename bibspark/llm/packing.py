@@ -239,9 +239,9 @@ def pack(parts: DataFrame, capacity: int = CAPACITY, per_task: int = PER_TASK, m
     out = full.select("row", "piece", F.xxhash64("row", "piece").alias("sequence_id"), F.lit(0).cast("long").alias("offset")).limit(0)
     for p in placed:
         out = out.unionByName(p.select("row", "piece", ids.alias("sequence_id"), "offset"))
-    # a full piece's sequence: its row and piece number, below zero
-    alone = -(F.shiftleft(F.col("row"), 20).bitwiseOR(F.col("piece").cast("long"))) - 1
-    return out.unionByName(full.select("row", "piece", alone.alias("sequence_id"), F.lit(0).cast("long").alias("offset"))), report
+    # full pieces have a sequence each, numbered below zero in a written table; the others' numbers hold up to 2**24 partitions of 2**32 bins
+    alone = materialize(full.select("row", "piece", F.monotonically_increasing_id().alias("n")), "full-pieces")
+    return out.unionByName(alone.select("row", "piece", (-F.col("n") - 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))), report
 
 
 def _of_part():

@@ -164,28 +164,35 @@ def like(text: str, rnd: Stream, hexa: bool = False) -> str:
 
 
 def surrogate(key: bytes, kind: str, canonical: str, attempt: int) -> str:
-    """The canonical form that stands for ``canonical``."""
+    """The canonical form that stands for ``canonical``.
+
+    From the second repetition on, every attempt draws from a larger space than the one before (names, secrets and addresses grow,
+    local network addresses leave their network), so entities of a kind always find distinct surrogates in the end.
+    """
     rnd = Stream(key, kind, canonical, attempt)
+    more = max(0, attempt - 1)
     if kind == "email":
         local, _, domain = canonical.rpartition("@")
         labels = domain.split(".")
         place = Stream(key, "domain", domain, 0)  # one domain, one surrogate
-        return like(local, rnd) + "@" + ".".join([*(like(x, place) for x in labels[:-1]), labels[-1]])
+        return like(local + "x" * more, rnd) + "@" + ".".join([*(like(x, place) for x in labels[:-1]), labels[-1]])
     if kind == "aws_key":
         return canonical[:4] + "".join("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"[rnd.below(32)] for _ in canonical[4:])
     if kind == "token":
         head = re.match(r"(?:gh[pousr]_|sk-|xox[abprs]-)", canonical).group()
-        return head + like(canonical[len(head):], rnd)
+        return head + like(canonical[len(head):] + "x" * more, rnd)
     if kind == "secret":
-        return like(canonical, rnd, bool(re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", canonical)))
+        return like(canonical + canonical[-1:] * more, rnd, bool(re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", canonical)))
     if kind == "iban":
-        return canonical[:2] + like(canonical[2:], rnd)
+        account = like(canonical[4:], rnd)
+        digits = "".join(str(int(c, 36)) for c in account + canonical[:2] + "00")
+        return f"{canonical[:2]}{98 - int(digits) % 97:02d}{account}"
     if kind == "card":
         body = canonical[0] + like(canonical[1:-1], rnd)
         return next(body + str(d) for d in range(10) if luhn(body + str(d)))
     if kind == "ip":
         parts = canonical.split(".")
-        kept = 1 if parts[0] in ("10", "127") else 2 if parts[:2] == ["192", "168"] else 0
+        kept = 0 if more else 1 if parts[0] in ("10", "127") else 2 if parts[:2] == ["192", "168"] else 0
         fresh = [str(1 + rnd.below(222))] + [str(rnd.below(256)) for _ in range(2)] + [str(1 + rnd.below(254))]
         return ".".join(parts[:kept] + fresh[kept:])
     if kind == "phone":
@@ -195,7 +202,7 @@ def surrogate(key: bytes, kind: str, canonical: str, attempt: int) -> str:
     if kind.startswith("given:") or kind == "family":
         script = script_of(canonical)
         gender = kind[6:] if kind.startswith("given:") else ""
-        parts = [SYLLABLES[script][rnd.below(16)] for _ in range(2 if gender else 4)]
+        parts = [SYLLABLES[script][rnd.below(16)] for _ in range((2 if gender else 4) + more)]
         ends = ENDINGS[script][gender]
         return ("".join(parts) + ends[rnd.below(len(ends))]).capitalize()
     return like(canonical, rnd)
