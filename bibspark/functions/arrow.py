@@ -25,9 +25,9 @@ def ascii_fold(c: Column) -> Column:
     return F.coalesce(F.pandas_udf(worker.fold, "string")(F.when(c.rlike("[^\\x00-\\x7f]"), c)), c)
 
 
-def parse_bib(raw: Column | str) -> Column:
-    """One bibliography entry to ``entry_type, bibtex_key, fields, error``."""
-    return F.pandas_udf(worker.parse_entries, PARSED_BIB)(raw)
+def parse_bib(raw: Column | str, recover: bool = False) -> Column:
+    """One bibliography entry to ``entry_type, bibtex_key, fields, error``; ``recover`` keeps the readable fields of damaged ones."""
+    return F.pandas_udf(worker.recover_entries if recover else worker.parse_entries, PARSED_BIB)(raw)
 
 
 def split_balanced(text: Column | str) -> Column:

@@ -12,10 +12,19 @@ import pandas as pd
 
 HEADER = re.compile(r"@([A-Za-z0-9_:-]+)\s*\{\s*([^,]+)\s*,")
 ANY_HEADER = re.compile(r"@[A-Za-z0-9_:-]+\s*\{")
-NEXT_FIELD = re.compile(r"[ \t\r\n,]*([A-Za-z0-9_:-]*)\s*(=?)\s*")
+#: between two values: the end of the entry, or a field's name and its equals sign
+FIELD = re.compile(r"[ \t\r\n,]*(?:(?P<end>\}|\Z)|(?P<name>[A-Za-z0-9_:-]*)\s*(?P<equals>=?)\s*)")
 BRACE = re.compile(r"[{}]")
 QUOTED = re.compile(r'"(?:[^"\\]|\\.)*"?', re.S)
 BARE = re.compile(r"[^,}]*")
+#: fixed values: fields that are kept of a damaged entry
+RECOVERED = ["title", "author", "year", "journal", "booktitle", "publisher", "school", "institution", "doi", "url", "abstract"]
+LINE_START = re.compile(rf"^\s*({'|'.join(RECOVERED)})\s*=\s*(?=[{{\"])", re.I | re.M)
+LINE_END = {"{": re.compile(r"\}\s*,?\s*$", re.M), '"': re.compile(r'"\s*,?\s*$', re.M)}
+
+
+class Damage(ValueError):
+    """The text of an entry that cannot be read any further."""
 
 
 def unescape(values: pd.Series) -> pd.Series:
@@ -44,32 +53,47 @@ def field_value(raw: str) -> str:
     return " ".join(value.split())
 
 
-def parse_entry(raw: str | None) -> tuple[str, str, dict[str, str], str]:
-    """``(entry_type, key, fields, error)`` of one entry."""
+def value_end(text: str, at: int) -> int:
+    if text[at] == "{":
+        return balanced_end(text, at)[0]
+    return (QUOTED if text[at] == '"' else BARE).match(text, at).end()
+
+
+def tokens(text: str, at: int):
+    """``(name, value)`` of the fields from ``at`` on; a name without a value is damage."""
+    while (m := FIELD.match(text, at))["end"] is None:
+        if not m["equals"]:
+            raise Damage(f"field {m['name'] or '?'} at {m.start('name')} has no value")
+        if (at := m.end()) == len(text):
+            return
+        end = value_end(text, at)
+        yield m["name"].lower(), field_value(text[at:end])
+        at = end
+
+
+def recovered(text: str) -> dict[str, str]:
+    """Fields of a damaged entry: known names at the start of a line, up to the first line that closes the value."""
+    found: dict[str, str] = {}
+    for start in LINE_START.finditer(text):
+        name, at = start[1].lower(), start.end()
+        end = LINE_END[text[at]].search(text, at + 1)
+        if name not in found and end:
+            found[name] = field_value(text[at:end.start() + 1])
+    return {name: value for name, value in found.items() if value}
+
+
+def parse_entry(raw: str | None, recover: bool = False) -> tuple[str, str, dict[str, str], str]:
+    """``(entry_type, key, fields, error)`` of one entry; ``recover`` keeps what can be read of a damaged one, without an error."""
     text = (raw or "").strip()
-    if not text.startswith("@"):
-        return "", "", {}, "entry must start with @"
     head = HEADER.match(text)
     if not head:
-        return "", "", {}, "no entry header"
-    fields: dict[str, str] = {}
-    at = head.end()
-    while at < len(text):
-        m = NEXT_FIELD.match(text, at)
-        name_at = m.start(1)
-        if name_at >= len(text) or (not m[1] and text[name_at] == "}"):
-            break
-        if not m[2]:
-            return "", "", {}, f"no value near {text[name_at:name_at + 40]!r}"
-        at = m.end()
-        if at >= len(text):
-            break
-        if text[at] == "{":
-            end = balanced_end(text, at)[0]
-        else:
-            end = (QUOTED if text[at] == '"' else BARE).match(text, at).end()
-        fields[m[1].lower()] = field_value(text[at:end])
-        at = end
+        return "", "", {}, "no header of an entry" if text.startswith("@") else "does not start with @"
+    try:
+        fields = dict(tokens(text, head.end()))
+    except Damage as damage:
+        if not recover:
+            return "", "", {}, str(damage)
+        fields = recovered(text)
     return head[1].lower(), head[2].strip(), fields, ""
 
 
@@ -77,6 +101,10 @@ def parse_entries(raw: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([parse_entry(r) for r in raw], columns=["entry_type", "bibtex_key", "fields", "error"])
 
 
+def recover_entries(raw: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([parse_entry(r, True) for r in raw], columns=["entry_type", "bibtex_key", "fields", "error"])
+
+
 def closed_entries(text: str) -> list[str]:
     """Entries that end where their braces close."""
     out, at = [], 0

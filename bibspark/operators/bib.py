@@ -15,9 +15,12 @@ from .quality import is_supplement
 from ..session import materialize
 
 
-def parse_entries(entries: DataFrame) -> DataFrame:
-    """``entries(ord, raw)`` to ``(ord, entry_type, bibtex_key, fields, raw, error)``; a map, no shuffle."""
-    return entries.select("ord", F.col("raw"), B.parse_bib("raw").alias("p")).select(
+def parse_entries(entries: DataFrame, recover: bool = False) -> DataFrame:
+    """``entries(ord, raw)`` to ``(ord, entry_type, bibtex_key, fields, raw, error)``; a map, no shuffle.
+
+    With ``recover`` a damaged entry keeps the fields that fill whole lines and has no error; only texts without an entry header fail.
+    """
+    return entries.select("ord", F.col("raw"), B.parse_bib("raw", recover).alias("p")).select(
         "ord", "p.entry_type", "p.bibtex_key", "p.fields", T.strip("raw").alias("raw"), "p.error")
 
 

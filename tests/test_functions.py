@@ -156,3 +156,13 @@ def test_render_entry(spark):
 def test_explanation_order(spark):
     df = spark.range(1).select(F.create_map(*[F.lit(x) for x in ("b", 2.0, "a", 2.0, "c", 9.5, "d", 1.0)]).alias("score_breakdown"))
     assert df.select(search.explanation()).first()[0] == "c=9.5, a=2, b=2"
+
+
+def test_damaged_entries_keep_what_can_be_read():
+    raw = ('@Book{k9,\n title = {One {Two}\n three},\n note {lost},\n AUTHOR="A and B" ,\n  year = 2001,\n doi={10.1/x} extra\n},\n url = {u}\n, abstract = {no line start}\n}')
+    assert worker.parse_entry(raw)[3]
+    assert worker.parse_entry(raw, True) == ("book", "k9", {"title": "One {Two", "author": "A and B", "doi": "10.1/x} extra", "url": "u"}, "")
+    assert worker.parse_entry("no header", True)[3] and worker.parse_entry(None, True)[3]
+    whole = '@a{k, title = {x}, x = 1}'
+    assert worker.parse_entry(whole, True) == worker.parse_entry(whole)
+    assert worker.parse_entry('@a{k,\n title = {x\n year = {y}\n}', True)[2] == {"title": "x year = {y}"}
