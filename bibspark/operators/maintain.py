@@ -149,8 +149,8 @@ def merge_pairs(registry: DataFrame, pairs: DataFrame, force: bool = False) -> M
     return Merge(out, refused, groups.join(names, "survivor_ord").select(F.col("survivor_id").alias("keep_id"), "drop_id", "signals"))
 
 
-def merge_records(records: DataFrame, merged: DataFrame, timestamp: Column | None = None) -> DataFrame:
-    """Records after a merge: blanks of the kept record are filled and a maintenance event is added."""
+def merge_records(records: DataFrame, merged: DataFrame, timestamp: Column | None = None, deleted_pdf: bool = False) -> DataFrame:
+    """Records after a merge: blanks of the kept record are filled, and each dropped row leaves an event that names it and what it shared."""
     drop = merged.join(records.select(F.col("paper_id").alias("drop_id"), F.struct(*records.columns).alias("d")),
                        "drop_id", "left")
     filled = lambda c: F.when(T.clean_text(F.col(f"d.{c}")) != "", F.col("drop_id"))
@@ -158,23 +158,61 @@ def merge_records(records: DataFrame, merged: DataFrame, timestamp: Column | Non
     aggs = [F.min_by(F.col(f"d.{c}"), filled(c)).alias(f"_{c}") for c in scalars]
     for c in ("manual_override", "semantic_scholar", "crossref", "match_confidence", "warnings", "crossref_warnings"):
         aggs.append(F.min_by(F.col(f"d.{c}"), F.when(F.col(f"d.{c}").isNotNull(), F.col("drop_id"))).alias(f"_{c}"))
-    events = drop.groupBy(F.col("keep_id").alias("paper_id")).agg(*aggs, F.count("*").alias("_n"))
+    at = timestamp if timestamp is not None else F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssXXX")
+    event = F.struct(F.lit("dedup_keep").alias("action"), at.alias("timestamp"), F.col("drop_id").alias("merged_from_paper_id"),
+                     F.col("signals").alias("identity_signals"), F.lit(deleted_pdf).alias("deleted_drop_pdf"))
+    # a record holds the list of its own events
+    events = drop.groupBy(F.col("keep_id").alias("paper_id")).agg(*aggs, F.array_sort(F.collect_list(F.struct("drop_id", event.alias("e")))).alias("_events"))
     kept = records.join(merged.select(F.col("drop_id").alias("paper_id")), "paper_id", "left_anti").join(
         events, "paper_id", "left")
-    event = F.struct(F.lit("dedup_keep").alias("action"), (
-        timestamp if timestamp is not None else F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssXXX")).alias("timestamp"))
     no_manual = F.col("manual_override").isNull() | (T.clean_text("manual_override.raw_bibtex") == "")
     new = {c: F.when(T.clean_text(c) != "", F.col(c)).otherwise(F.coalesce(F.col(f"_{c}"), F.col(c))) for c in scalars}
     new["manual_override"] = F.when(no_manual, F.coalesce("_manual_override", "manual_override")).otherwise(
         F.col("manual_override"))
     for c in ("semantic_scholar", "crossref", "match_confidence", "warnings", "crossref_warnings"):
         new[c] = F.coalesce(c, f"_{c}")
-    new["maintenance"] = F.when(F.col("_n").isNotNull(), F.concat(
-        F.coalesce("maintenance", F.array().cast("array<struct<action:string,timestamp:string>>")),
-        F.array_repeat(event, F.col("_n").cast("int")))).otherwise(F.col("maintenance"))
+    new["maintenance"] = F.when(F.col("_events").isNotNull(), F.concat(
+        F.coalesce("maintenance", F.array()), F.transform("_events", lambda x: x["e"]))).otherwise(F.col("maintenance"))
     return kept.select(*[new.get(c, F.col(c)).alias(c) for c in records.columns])
 
 
+@dataclass(frozen=True)
+class MergedLibrary:
+    registry: DataFrame
+    bibliography: DataFrame
+    records: DataFrame
+    texts: DataFrame
+    chunks: DataFrame
+    files: DataFrame             # pdf_path of dropped rows, to delete
+    log: DataFrame               # keep_id, drop_id, signals, removed_key, warning
+    refused: DataFrame           # keep_id, drop_id, reason
+
+
+def merge_library(registry: DataFrame, pairs: DataFrame, bibliography: DataFrame, records: DataFrame, texts: DataFrame, chunks: DataFrame,
+                  force: bool = False, delete_pdf: bool = False, timestamp: Column | None = None) -> MergedLibrary:
+    """A merge with everything that hangs on the dropped rows.
+
+    Their records, texts and chunks go, and the bibliography entry of their key goes when no row of the merged registry uses it.
+    The kept rows' records name what they took in.  Files of dropped rows are listed for deletion with ``delete_pdf``; else the log warns
+    that they stay.  Nothing is deleted here.
+    """
+    m = merge_pairs(registry, pairs, force)
+    merged = materialize(m.merged, "merged")
+    rows = materialize(m.registry, "merged-registry")
+    dropped = merged.select(F.col("drop_id").alias("paper_id"))
+    gone = materialize(registry.join(dropped, "paper_id", "left_semi").select(
+        F.col("paper_id").alias("drop_id"), T.clean_text("bibtex_key").alias("key"), T.clean_text("pdf_path").alias("pdf_path"), "content_kind"), "dropped-rows")
+    unused = gone.select(F.col("key").alias("bibtex_key")).filter("bibtex_key <> ''").distinct().join(key_usage(rows), "bibtex_key", "left_anti")
+    stays = (F.col("content_kind") == K.PDF_BACKED) & (F.col("pdf_path") != "")
+    warning = F.lit("") if delete_pdf else F.when(stays, "the file of the dropped row stays without a row").otherwise("")
+    removed = unused.select(F.col("bibtex_key").alias("key"), F.col("bibtex_key").alias("removed_key"))
+    log = merged.join(gone, "drop_id").join(removed, "key", "left").select(
+        "keep_id", "drop_id", "signals", F.coalesce("removed_key", F.lit("")).alias("removed_key"), warning.alias("warning"))
+    files = gone.filter(F.lit(delete_pdf) & (F.col("pdf_path") != "")).select("pdf_path").distinct()
+    return MergedLibrary(rows, bibliography.join(unused, "bibtex_key", "left_anti"), merge_records(records, merged, timestamp, delete_pdf),
+                         delete_rows(texts, dropped), delete_rows(chunks, dropped), files, log, m.refused)
+
+
 # --- links, overrides, moves ---------------------------------------------------------
 
 def link_supplements(registry: DataFrame, links: DataFrame) -> DataFrame:

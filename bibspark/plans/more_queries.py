@@ -13,7 +13,7 @@ from ..operators import bib, linkage, maintain, quality, query_table, search
 from ..session import scratch_path
 from . import sql as S
 from . import views as V
-from .queries import _BIBV, MANY, ORACLES, _dups, _facts, joined, query, search_index
+from .queries import _BIBV, _PAIRS, _SIGNALS, _SUPP_MERGE, MANY, ORACLES, _dups, _facts, _neighbours, joined, query, search_index
 
 # --- sources ---------------------------------------------------------------------------------
 
@@ -183,3 +183,37 @@ def bib_recovered(spark, sf):
     f = lambda n: T.blank(F.try_element_at("fields", F.lit(n)))
     return parsed.select("ord", "entry_type", "bibtex_key", *[f(n).alias(n) for n in ("title", "author", "year", "doi")],
                          T.first_filled(f("journal"), f("publisher")).alias("venue"), f("pages").alias("pages"))
+
+
+# --- a merge with everything that hangs on it ------------------------------------------------------
+
+_SIGNAL_NAMES = ["same_doi", "same_bibtex_key", "same_pdf_sha256", "same_title_year"]
+_MERGED_KEY = f"CASE WHEN {S.clean('r.bibtex_key')} <> '' THEN r.bibtex_key WHEN {S.clean('d.bibtex_key')} <> '' THEN {S.clean('d.bibtex_key')} ELSE r.bibtex_key END"
+
+
+@query("merge_library", S.with_registry("""
+  SELECT 'registry' AS frame, paper_id AS id, bibtex_key AS value FROM after
+  UNION ALL SELECT DISTINCT 'bibliography', bibtex_key, '' FROM registry WHERE bibtex_key <> '' AND bibtex_key NOT IN (SELECT bibtex_key FROM unused)
+  UNION ALL SELECT 'records', r.paper_id, coalesce('dedup_keep ' || g.drop_id || ' ' || g.signals || ' true', '') FROM registry r LEFT JOIN good g ON g.keep_id = r.paper_id WHERE r.paper_id NOT IN (SELECT drop_id FROM good)
+  UNION ALL SELECT 'texts', paper_id, '' FROM after
+  UNION ALL SELECT 'chunks', paper_id || '#' || i, '' FROM after, (VALUES (0), (1)) AS t(i)
+  UNION ALL SELECT DISTINCT 'files', pdf_path, '' FROM registry WHERE pdf_path <> '' AND paper_id IN (SELECT drop_id FROM good)
+  UNION ALL SELECT 'log', g.drop_id, CASE WHEN d.bibtex_key IN (SELECT bibtex_key FROM unused) THEN d.bibtex_key ELSE '' END FROM good g JOIN registry d ON d.paper_id = g.drop_id""",
+  _PAIRS, f"""good AS (SELECT mp.*, concat_ws('+', {', '.join(f"CASE WHEN {dict(zip(_SIGNAL_NAMES, _SIGNALS))[n]} THEN '{n}' END" for n in ('same_doi', 'same_bibtex_key', 'same_title_year', 'same_pdf_sha256'))}) AS signals
+    FROM mp JOIN registry k ON k.paper_id = keep_id JOIN registry d ON d.paper_id = drop_id
+    WHERE ({' OR '.join(_SIGNALS)}) AND NOT ({_SUPP_MERGE.replace('{r}', 'd')} AND NOT {_SUPP_MERGE.replace('{r}', 'k')}))""",
+  f"after AS (SELECT r.paper_id, {_MERGED_KEY} AS bibtex_key FROM registry r LEFT JOIN good g ON g.keep_id = r.paper_id LEFT JOIN registry d ON d.paper_id = g.drop_id WHERE r.paper_id NOT IN (SELECT drop_id FROM good))",
+  "unused AS (SELECT bibtex_key FROM registry WHERE bibtex_key <> '' AND paper_id IN (SELECT drop_id FROM good) AND bibtex_key NOT IN (SELECT bibtex_key FROM after))"))
+def merge_library(spark, sf):
+    """Registry, bibliography, records, texts, chunks, files and log after the merges of ``merge_pairs``."""
+    chunks = V.texts(spark, sf).select("paper_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("i"))
+    m = maintain.merge_library(V.registry(spark, sf), _neighbours(spark, sf), V.bib_entries(spark, sf), V.records(spark, sf), V.texts(spark, sf), chunks,
+                               delete_pdf=True, timestamp=F.lit("2024-01-01T00:00:00+00:00"))
+    event = lambda e: F.concat_ws(" ", e["action"], e["merged_from_paper_id"], F.array_join(e["identity_signals"], "+"), e["deleted_drop_pdf"].cast("string"))
+    frame = lambda df, name, i, value=F.lit(""): df.select(F.lit(name).alias("frame"), i.alias("id"), value.alias("value"))
+    return (
+        frame(m.registry, "registry", F.col("paper_id"), F.col("bibtex_key"))
+        .unionAll(frame(m.bibliography, "bibliography", F.col("bibtex_key")).distinct())
+        .unionAll(frame(m.records, "records", F.col("paper_id"), F.array_join(F.transform("maintenance", event), ";")))
+        .unionAll(frame(m.texts, "texts", F.col("paper_id"))).unionAll(frame(m.chunks, "chunks", F.concat_ws("#", "paper_id", "i")))
+        .unionAll(frame(m.files, "files", F.col("pdf_path"))).unionAll(frame(m.log, "log", F.col("drop_id"), F.col("removed_key"))))

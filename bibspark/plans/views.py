@@ -225,7 +225,7 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(d % 5 == 2, parent).alias("supplement_parent"),
         F.struct("text_path", "chunk_path", F.lit("").alias("text_kind")).alias("artifacts"),
         F.struct(F.lit("").alias("error")).alias("text_extraction"),
-        F.array().cast("array<struct<action:string,timestamp:string>>").alias("maintenance"),
+        F.array().alias("maintenance"),
         "row_ord",
     )
     return shaped.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in RECORD], "row_ord")

@@ -32,6 +32,9 @@ CANDIDATE = T.StructType([
 ])
 OVERRIDE_FIELDS = ["title", "authors", "year", "venue", "doi", "url", "abstract", "raw_bibtex",
                    "bibtex_key", "parsed_bibtex_type", "source_note"]
+EVENT = T.StructType([*_strings("action", "timestamp", "merged_from_paper_id"),
+                      T.StructField("identity_signals", T.ArrayType(T.StringType())), T.StructField("deleted_drop_pdf", T.BooleanType())])
+
 RECORD = T.StructType([
     *_strings("paper_id", "content_kind", "metadata_source", "pdf_path", "pdf_sha256", "filename",
               "item_type", "title_query", "match_status", "date_indexed"),
@@ -48,7 +51,7 @@ RECORD = T.StructType([
     T.StructField("supplement_parent", REGISTRY),
     T.StructField("artifacts", T.StructType(_strings("text_path", "chunk_path", "text_kind"))),
     T.StructField("text_extraction", T.StructType(_strings("error"))),
-    T.StructField("maintenance", T.ArrayType(T.StructType(_strings("action", "timestamp")))),
+    T.StructField("maintenance", T.ArrayType(EVENT)),
 ])
 PARSED_BIB = T.StructType([
     *_strings("entry_type", "bibtex_key"),
