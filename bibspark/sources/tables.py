@@ -5,14 +5,16 @@ import time
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T_
 
 from .. import constants as K
 from .. import schemas
 from ..functions import names as N
 from ..functions import text as T
 from ..operators.index import with_defaults
+from ..session import materialize
 
-TSV = {"sep": "\t", "header": True, "quote": '"', "escape": '"', "multiLine": True}
+TSV = {"sep": "\t", "header": True, "quote": '"', "escape": '"'}
 
 
 def read_registry_tsv(spark: SparkSession, path: str) -> DataFrame:
@@ -20,18 +22,57 @@ def read_registry_tsv(spark: SparkSession, path: str) -> DataFrame:
 
     ``row_ord`` numbers the rows in file order, files in the order of their paths.
     """
-    raw = spark.read.options(**TSV).schema(schemas.REGISTRY).csv(path)
-    return with_defaults(in_file_order(raw, "row_ord").na.fill(""))
+    return with_defaults(read_quoted(spark, path, schemas.REGISTRY, "row_ord"))
+
+
+def read_quoted(spark: SparkSession, path: str, schema: T_.StructType, name: str, options: dict | None = None) -> DataFrame:
+    """Rows of delimited files with a header line, numbered in file order in ``name``; one large file is read by many tasks.
+
+    A line belongs to the row before it when an odd number of quotes stands before it in its file.  So the lines of each split are
+    numbered for both cases at once, a prefix sum over the splits (a few numbers each) tells which case holds, and only rows of several
+    lines are put together again.  Values that hold a quote must be quoted, as all writers of this format do.  Empty lines
+    between rows are skipped, missing values are empty.
+    """
+    options = {k: v for k, v in {**TSV, **(options or {})}.items() if k != "header"}
+    lines = spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_id"),
+        (F.length("value") - F.length(F.replace("value", F.lit(options["quote"]), F.lit("")))).alias("_quotes"))
+    split = Window.partitionBy("_path", "_start").orderBy("_id")
+    before = F.coalesce(F.sum("_quotes").over(split.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) % 2
+    lines = lines.withColumn("_odd", before.cast("int"))
+    heads = lambda odd: F.when((F.col("_odd") == odd) & (F.col("value") != ""), 1).otherwise(0)
+    so_far = split.rowsBetween(Window.unboundedPreceding, 0)
+    # one scan is numbered and written; everything below reads the same numbers
+    lines = materialize(lines.withColumn("_n0", F.sum(heads(0)).over(so_far)).withColumn("_n1", F.sum(heads(1)).over(so_far)), "lines")
+    splits = lines.groupBy("_path", "_start").agg((F.sum("_quotes") % 2).alias("_parity"), F.max("_n0").alias("_m0"), F.max("_n1").alias("_m1"))
+    in_file = Window.partitionBy("_path").orderBy("_start")
+    earlier = lambda c, w: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    splits = splits.withColumn("_open", earlier("_parity", in_file) % 2).withColumn("_rows", F.when(F.col("_open") == 0, F.col("_m0")).otherwise(F.col("_m1")))
+    first = Window.partitionBy("_path")
+    splits = splits.withColumn("_in_file", F.sum("_rows").over(first)).filter("_in_file > 0")
+    splits = splits.withColumn("_base", earlier("_rows", Window.orderBy("_path", "_start"))).withColumn(
+        "_file", F.dense_rank().over(Window.orderBy("_path"))).withColumn("_first", F.min("_base").over(first))
+    known = lines.join(splits.select("_path", "_start", "_open", "_base", "_file", "_first"), ["_path", "_start"])
+    head = F.col("_odd") == F.col("_open")
+    row = F.col("_base") + F.when(F.col("_open") == 0, F.col("_n0")).otherwise(F.col("_n1")) - 1
+    known = known.select("value", "_start", "_id", head.alias("_head"), (F.col("_quotes") % 2).alias("_odd"), row.alias("_row"),
+                         (row - F.col("_file")).alias(name), (row == F.col("_first")).alias("_header"))
+    known = known.filter("NOT _header AND NOT (_head AND value = '')")
+    whole = known.filter("_head AND _odd = 0").select(name, "value")
+    parts = known.filter("NOT (_head AND _odd = 0)").groupBy(name).agg(F.array_sort(F.collect_list(F.struct("_start", "_id", "value"))).alias("p"))
+    joined = parts.select(name, F.array_join(F.transform("p", lambda x: x["value"]), "\n").alias("value"))
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
+    return whole.unionAll(joined).select(F.from_csv("value", fields, options).alias("r"), name).select("r.*", name).na.fill("")
 
 
 def in_file_order(scan: DataFrame, name: str) -> DataFrame:
     """Number the rows of a file scan by path, place of the split in the file, and place in the split.
 
-    Spark packs splits into tasks by size, so its own row ids do not follow the files.  Only one number a split is
-    gathered; the rows are not sorted.
+    Spark packs splits into tasks by size, so its own row ids do not follow the files.  The scan is written once with its ids;
+    only one number a split is gathered, and the rows are not sorted.
     """
     part = F.struct(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"))
-    rows = scan.select("*", part.alias("_part"), F.monotonically_increasing_id().alias("_id"))
+    rows = materialize(scan.select("*", part.alias("_part"), F.monotonically_increasing_id().alias("_id")), "numbered-scan")
     splits = rows.groupBy("_part").agg(F.count("*").alias("_n"), F.min("_id").alias("_first"))
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     shifts = splits.select("_part", (before - F.col("_first")).alias("_shift"))
@@ -41,7 +82,7 @@ def in_file_order(scan: DataFrame, name: str) -> DataFrame:
 def write_registry_tsv(registry: DataFrame, path: str) -> None:
     """Export in the same dialect, in row order."""
     ordered = registry.orderBy("row_ord") if "row_ord" in registry.columns else registry
-    options = {k: v for k, v in TSV.items() if k != "multiLine"}
+    options = TSV
     with_defaults(ordered).select(*K.REGISTRY_FIELDS).write.options(
         **options, emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
 
@@ -167,8 +208,7 @@ def write_bibliography(entries: DataFrame, path: str, single_file: bool = False)
 
 
 def read_journals(spark: SparkSession, path: str) -> DataFrame:
-    raw = in_file_order(spark.read.options(**TSV).schema(schemas.JOURNALS).csv(path), "ord").na.fill("")
-    return raw
+    return read_quoted(spark, path, schemas.JOURNALS, "ord")
 
 
 # --- logs -----------------------------------------------------------------------------------

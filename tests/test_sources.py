@@ -129,3 +129,36 @@ def test_roots_are_plain_text(spark):
     d = spark.createDataFrame([("/data/a+b/x.pdf",), ("/data/aab/x.pdf",)], "p string")
     from bibspark.sources import tables
     assert [x[0] for x in d.select(tables.relative(F.col("p"), "/data/a+b")).collect()] == ["x.pdf", "/data/aab/x.pdf"]
+
+
+def test_one_file_is_read_by_many_tasks(spark, tmp_path):
+    """Quoted line breaks, quotes and empty lines across splits: the rows and order of a plain reader."""
+    import csv
+    import random
+    rnd = random.Random(4)
+    bits = ["a", "b c", '"', '""', "\n", "\n\n", "\t", "x\ty", ",", "é", "long " * 30, ""]
+    cols = [f.name for f in __import__("bibspark.schemas").schemas.JOURNALS]
+    folder = tmp_path / "j"
+    folder.mkdir()
+    want = []
+    for k in range(3):
+        with open(folder / f"f{k}.tsv", "w", newline="") as f:
+            w = csv.writer(f, delimiter="\t", lineterminator="\n")
+            w.writerow(cols)
+            for i in range((0, 400, 250)[k]):
+                row = [f"{k}-{i}"] + ["".join(rnd.choices(bits, k=rnd.randrange(4))) for _ in cols[1:]]
+                want.append(tuple(row))
+                w.writerow(row)
+                if i % 50 == 7:
+                    f.write("\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        tasks = spark.read.text(str(folder)).rdd.getNumPartitions()
+        rows = S.read_journals(spark, str(folder)).orderBy("ord").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert tasks > 10
+    assert [r.ord for r in rows] == list(range(650))
+    assert [tuple(r[c] for c in cols) for r in rows] == want
