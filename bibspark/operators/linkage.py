@@ -77,6 +77,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """
     left = materialize(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
                        .distinct(), "edges")
+    # the centre of a star has many edges on the left of these joins; adaptive execution splits such partitions (left sides may be split)
     maps: list[DataFrame] = []
     while left.count():  # from the file footers
         seed = len(maps)
@@ -85,7 +86,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         maps.append(step)
         la = step.select(F.col("node").alias("a"), F.col("label").alias("la"))
         lb = step.select(F.col("node").alias("b"), F.col("label").alias("lb"))
-        moved = split_lookup(split_lookup(left, la, "a"), lb, "b").filter("la <> lb")
+        moved = left.join(la, "a", "left").join(lb, "b", "left").filter("la <> lb")
         left = materialize(moved.select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")).distinct(),
                            "edges")
     if not maps:
@@ -94,10 +95,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
     for step in reversed(maps[:-1]):
         onward = roots.select(F.col("node").alias("label"), F.col("label").alias("root"))
         roots = materialize(
-            split_lookup(step, onward, "label")
+            step.join(onward, "label", "left")
             .select("node", F.coalesce("root", "label").alias("label")), "roots")
     smallest = roots.groupBy("label").agg(F.min(F.least("node", "label")).alias("component"))
-    return split_lookup(roots, smallest, "label").select("node", "component")
+    return roots.join(smallest, "label", "left").select("node", "component")
 
 
 def duplicate_members(rows: DataFrame, strict_compat: bool = False) -> DataFrame:
