@@ -31,10 +31,12 @@ def arrow_map(df: DataFrame, fn: Callable[[Iterable], Iterable], schema: str) ->
 
 
 def give_back() -> None:
-    """Return free memory of a Python worker to the system; workers outlive their tasks."""
+    """Return free memory of this Python process to the system; workers outlive their tasks, the driver its stages."""
     import ctypes
+    import gc
 
     import pyarrow as pa
+    gc.collect()
     pa.default_memory_pool().release_unused()
     if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc only
         trim(0)

@@ -225,6 +225,7 @@ def predictor(model: Model):
 def keep_identified(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The rows of ``docs`` whose text is not rejected, with all their columns."""
     model = fit(*train_sample(docs, text_col, lang_col, F.col(id_col), learn))
+    give_back()  # what training held on the driver
 
     def keep(texts: pa.Array) -> pa.Array:
         good = pa.array(~judge(model, texts)[2])
