@@ -217,3 +217,54 @@ def merge_library(spark, sf):
         .unionAll(frame(m.records, "records", F.col("paper_id"), F.array_join(F.transform("maintenance", event), ";")))
         .unionAll(frame(m.texts, "texts", F.col("paper_id"))).unionAll(frame(m.chunks, "chunks", F.concat_ws("#", "paper_id", "i")))
         .unionAll(frame(m.files, "files", F.col("pdf_path"))).unionAll(frame(m.log, "log", F.col("drop_id"), F.col("removed_key"))))
+
+
+# --- title lines -----------------------------------------------------------------------------------
+
+
+
+def _n_words(x: str) -> str:
+    return f"len({S.words(x)})"
+
+
+def _cut(x: str, pattern: str) -> str:
+    """Text before the first match of ``pattern``, when it has five words; a captured shortest head replaces the look-ahead."""
+    head = f"trim(regexp_extract({x}, '^(.*?)(?:{pattern})', 1), ' ,;:-')"
+    return f"CASE WHEN regexp_matches({x}, '^(.*?)(?:{pattern})') AND {_n_words(head)} >= 5 THEN {head} END"
+
+
+_WORDS = "[\\p{L}\\p{M}\\p{N}_.''-]"
+_LINES = f"""raw_lines AS (SELECT 'doc-' || doc_id AS paper_id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents),
+  kept AS (SELECT paper_id, pos, trim(l, chr(32) || chr(9) || chr(13)) AS l FROM raw_lines),
+  text_lines AS (SELECT paper_id, row_number() OVER (PARTITION BY paper_id ORDER BY pos) AS i, {S.titleish('l')} AS x FROM kept WHERE l <> ''
+    AND NOT regexp_matches(l, '^\\[Page \\d+\\]$') AND NOT regexp_matches(l, '(?i)\\b(?:doi|received|accepted|published online|open access|check for updates)\\b')
+    AND NOT (regexp_matches(l, '^[A-Z\\s&,:;.-]{{3,}}$') AND {_n_words('l')} <= 8) AND NOT regexp_matches(l, '(?i)@|\\bAffiliations?\\b|\\bCorrespondence\\b'))"""
+_PREFIXES = f"""labels AS (SELECT *, trim(regexp_replace(regexp_replace(regexp_replace(x, '^(?:[A-Z]\\s+){{2,}}[A-Z]?\\s*', ''),
+    '(?i)^(?:research|report|article|review|perspective|resource)\\s+', ''), '(?i)^(?:molecular biology|dynamic genome|genome biology|biophysics|cell biology)\\s+', '')) AS t FROM text_lines),
+  prefixes AS (SELECT paper_id, i, x, coalesce({_cut('t', f"\\s[A-Z]{_WORDS}+(?:\\s+[A-Z]{_WORDS}+){{0,3}}(?:\\p{{Nd}}|[*†‡])")}, {_cut('t', "[.?!:]\\s+[A-Z]")}, t) AS p FROM labels)"""
+
+
+@query("text_lines", f"WITH {_LINES} SELECT paper_id, i, x AS line FROM text_lines")
+def text_lines(spark, sf):
+    return V.texts(spark, sf).select("paper_id", F.posexplode(P.text_lines("text")).alias("i", "line")).select(
+        "paper_id", (F.col("i") + 1).cast("bigint").alias("i"), "line")
+
+
+@query("title_prefixes", f"WITH {_LINES}, {_PREFIXES} SELECT paper_id, i, p AS prefix FROM prefixes")
+def title_prefixes(spark, sf):
+    lines = V.texts(spark, sf).select("paper_id", F.posexplode(P.text_lines("text")).alias("i", "line"))
+    return lines.select("paper_id", (F.col("i") + 1).cast("bigint").alias("i"), P.title_prefix("line").alias("prefix"))
+
+
+_NO_ET_AL = "NOT contains(lower({x}), 'et al')"
+ORACLES["title_candidates"] = f"""WITH {_LINES}, {_PREFIXES},
+  top AS (SELECT paper_id, i, {S.titleish("x || ' ' || lead(x) OVER (PARTITION BY paper_id ORDER BY i)")} AS v FROM text_lines WHERE i <= 8 AND {_n_words('x')} >= 2),
+  found AS (SELECT paper_id, CASE WHEN i <= 25 THEN 0 ELSE 2 END AS part, i, 0 AS sub, p AS v FROM prefixes WHERE p <> x AND {_n_words('p')} BETWEEN 5 AND 25 AND {_NO_ET_AL.format(x='p')}
+    UNION ALL SELECT paper_id, CASE WHEN i <= 25 THEN 0 ELSE 2 END, i, 1, x FROM prefixes WHERE {_n_words('x')} BETWEEN 5 AND 25 AND length(x) >= 25 AND {_NO_ET_AL.format(x='x')}
+      AND NOT regexp_matches(x, '(?i)\\b(?:abstract|summary|introduction|significance|results|supporting information|supplementary)\\b')
+      AND NOT regexp_matches(x, '(?i)\\b(?:university|department|institute|laboratory|school|center|centre)\\b')
+    UNION ALL SELECT paper_id, 1, i, 0, v FROM top WHERE v IS NOT NULL AND {_n_words('v')} BETWEEN 6 AND 20 AND {_NO_ET_AL.format(x='v')}),
+  once AS (SELECT * FROM found QUALIFY row_number() OVER (PARTITION BY paper_id, v ORDER BY part, i, sub) = 1),
+  best AS (SELECT * FROM once QUALIFY row_number() OVER (PARTITION BY paper_id ORDER BY part, i, sub) <= 4)
+  SELECT 'doc-' || doc_id AS paper_id, coalesce(titles, '') AS titles FROM documents LEFT JOIN
+    (SELECT paper_id, string_agg(v, '|' ORDER BY part, i, sub) AS titles FROM best GROUP BY 1) b ON b.paper_id = 'doc-' || doc_id"""
