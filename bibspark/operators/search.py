@@ -12,6 +12,7 @@ from .. import constants as K
 from ..functions import names as N
 from ..functions import text as T
 from ..plans.spec import QueryText, parse_year_range
+from .joins import split_lookup
 
 W = K.WEIGHTS
 
@@ -361,6 +362,16 @@ def supplements_of(registry: DataFrame) -> DataFrame:
     return parent.join(child, "bibtex_key").filter("paper_id <> supplement_id")
 
 
+def supplement_groups(registry: DataFrame) -> DataFrame:
+    """``(bibtex_key, paper_id, is_supplement, n_papers, n_supplements)``: one row per row of every key that has a supplement.
+
+    The class of a key with its counts and its members; the pairs of ``supplements_of`` are each supplement with the other members.
+    """
+    rows = registry.filter("bibtex_key <> ''").select("bibtex_key", "paper_id", (F.col("match_status") == "matched_supplement").alias("is_supplement"))
+    classes = rows.groupBy("bibtex_key").agg(F.count_if(~F.col("is_supplement")).alias("n_papers"), F.count_if("is_supplement").alias("n_supplements")).filter("n_supplements > 0")
+    return split_lookup(rows, classes, "bibtex_key", "inner").select("bibtex_key", "paper_id", "is_supplement", "n_papers", "n_supplements")
+
+
 def record_detail(ids: DataFrame, registry: DataFrame, records: DataFrame, entries: DataFrame) -> DataFrame:
     """Registry row, record and bibliography entry of each ``ids(paper_id)``; equi-joins, so any number of ids."""
     entry = entries.groupBy("bibtex_key").agg(F.max_by("raw", "ord").alias("raw_bibtex"))

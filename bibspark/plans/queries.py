@@ -972,6 +972,16 @@ def supplements_of(spark, sf):
     return search.supplements_of(maintain.link_supplements(r, links)).select("paper_id", "supplement_id")
 
 
+@query("supplement_groups", S.with_registry("""SELECT k AS bibtex_key, paper_id, st = 'matched_supplement' AS is_supplement, count(*) FILTER (st <> 'matched_supplement') OVER w AS n_papers,
+  count(*) FILTER (st = 'matched_supplement') OVER w AS n_supplements FROM linked WHERE k <> '' WINDOW w AS (PARTITION BY k) QUALIFY n_supplements > 0""",
+  """linked AS (SELECT r.paper_id, coalesce(p.bibtex_key, r.bibtex_key) AS k, CASE WHEN p.paper_id IS NULL THEN r.match_status ELSE 'matched_supplement' END AS st
+    FROM registry r LEFT JOIN registry p ON r.row_ord % 25 = 7 AND p.row_ord = r.row_ord - 1)"""))
+def supplement_groups(spark, sf):
+    r = V.registry(spark, sf)
+    links = r.filter("row_ord % 25 = 7").select(F.col("paper_id").alias("child_id"), F.concat(F.lit("doc-"), (F.col("row_ord") - 1).cast("string")).alias("parent_id"))
+    return search.supplement_groups(maintain.link_supplements(r, links))
+
+
 @query("apply_overrides", S.with_registry("""SELECT paper_id, CASE WHEN h THEN 'Verified ' || row_ord ELSE resolved_title END AS resolved_title, CASE WHEN h THEN '2001' ELSE year END AS year,
   CASE WHEN h THEN 'manual_verified' ELSE match_status END AS match_status, CASE WHEN h THEN concat_ws(' | ', nullif(notes, ''), 'checked') ELSE notes END AS notes,
   CASE WHEN h AND bibtex_key = '' THEN 'roe2001' || least('verified', CASE WHEN length(row_ord::VARCHAR) > 1 THEN row_ord::VARCHAR ELSE 'verified' END) ELSE bibtex_key END AS bibtex_key FROM (SELECT *, row_ord % 5 = 2 AS h FROM registry)"""))
