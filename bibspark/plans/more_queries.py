@@ -13,7 +13,7 @@ from ..operators import bib, linkage, maintain, quality, query_table, search
 from ..session import scratch_path
 from . import sql as S
 from . import views as V
-from .queries import _BIBV, _PAIRS, _SIGNALS, _SUPP_MERGE, MANY, ORACLES, _dups, _facts, _neighbours, joined, query, search_index
+from .queries import _BIBSUP, _BIBV, _PAIRS, _SIGNALS, _SUPP_MERGE, MANY, ORACLES, _dups, _facts, _neighbours, joined, query, search_index
 
 # --- sources ---------------------------------------------------------------------------------
 
@@ -268,3 +268,38 @@ ORACLES["title_candidates"] = f"""WITH {_LINES}, {_PREFIXES},
   best AS (SELECT * FROM once QUALIFY row_number() OVER (PARTITION BY paper_id ORDER BY part, i, sub) <= 4)
   SELECT 'doc-' || doc_id AS paper_id, coalesce(titles, '') AS titles FROM documents LEFT JOIN
     (SELECT paper_id, string_agg(v, '|' ORDER BY part, i, sub) AS titles FROM best GROUP BY 1) b ON b.paper_id = 'doc-' || doc_id"""
+
+
+# --- the rebuilt bibliography ------------------------------------------------------------------------
+
+
+def _field(name: str, value: str) -> str:
+    return f"CASE WHEN {value} <> '' THEN '  {name} = {{' || {value} || '}}' END"
+
+
+def _either(a: str, b: str) -> str:
+    return f"CASE WHEN {a} <> '' THEN {a} ELSE {b} END"
+
+
+_ARTICLE = ["title", "author", "year", "journal", "volume", "number", "pages", "doi", "url", "abstract", "issn", "publisher"]
+_BOOK = ["title", "author", "year", "publisher", "volume", "pages", "doi", "url", "abstract"]
+ORACLES["bib_rebuild"] = S.with_registry(f"""
+  SELECT bibtex_key, entry_type, '@' || entry_type || '{{' || bibtex_key || ',' || chr(10) || array_to_string(list_filter(CASE WHEN entry_type = 'book'
+    THEN [{', '.join(_field(n, n) for n in _BOOK)}] ELSE [{', '.join(_field(n, n) for n in _ARTICLE)}] END, lambda x: x IS NOT NULL), ',' || chr(10)) || chr(10) || '}}' || chr(10) AS raw FROM rebuilt""",
+  _BIBV,
+  f"""facts AS (SELECT *, trim(bibtex_key) AS k, CASE WHEN row_ord % 5 = 0 THEN 'Manual abstract' WHEN row_ord % 5 <> 2 AND row_ord % 2 = 0 THEN 'Abstract &amp; <b>more</b> ' || row_ord
+      WHEN row_ord % 5 <= 1 THEN '<p>Work ' || row_ord || '</p>' ELSE '' END AS abs FROM registry WHERE trim(bibtex_key) <> '')""",
+  f"""reps AS (SELECT * FROM facts QUALIFY row_number() OVER (PARTITION BY k ORDER BY
+      (CASE WHEN {_BIBSUP} THEN 0 ELSE 100 END + CASE WHEN content_kind = 'pdf_backed' THEN 20 ELSE 0 END + (resolved_title <> '')::INT + (authors <> '')::INT + (year <> '')::INT
+        + (venue <> '')::INT + (doi <> '')::INT + (canonical_url <> '')::INT + (abs <> '')::INT) DESC, length(abs) DESC, length(doi) DESC, row_ord) = 1)""",
+  "olds AS (SELECT * FROM bibv QUALIFY row_number() OVER (PARTITION BY bibtex_key ORDER BY ord) = 1)",
+  f"""shaped AS (SELECT r.k AS bibtex_key, r.row_ord % 5 = 0 AS manual, r.row_ord % 5 <= 1 AS work, CASE WHEN r.row_ord % 5 = 0 THEN 'book' ELSE o.entry_type END AS entry_type, r.row_ord AS d,
+      {S.squeeze("CASE WHEN r.resolved_title <> '' THEN r.resolved_title ELSE r.title_query END")} AS mt, r.authors AS ma, r.year AS my, {S.venue('r.venue')} AS mv, {S.doi('r.doi')} AS md,
+      r.canonical_url AS url, r.abs AS abstract, o.title AS ot, o.authors AS oa, o.year AS oy, o.venue_raw AS ov, o.doi_raw AS od, o.p1 || '--' || o.p2 AS op, o.book AS obook
+      FROM reps r JOIN olds o ON o.bibtex_key = r.k)""",
+  f"""rebuilt AS (SELECT bibtex_key, entry_type, {_either('mt', "CASE WHEN manual THEN 'Raw' ELSE ot END")} AS title, {_either('ma', "CASE WHEN manual THEN '' ELSE oa END")} AS author,
+      {_either('my', "CASE WHEN manual THEN '' ELSE oy END")} AS year, {_either('mv', "CASE WHEN manual OR obook THEN '' ELSE ov END")} AS journal,
+      CASE WHEN entry_type = 'book' AND mv <> '' THEN mv WHEN work THEN 'Pub' WHEN obook AND NOT manual THEN ov ELSE '' END AS publisher,
+      CASE WHEN work THEN (d % 40)::VARCHAR ELSE '' END AS volume, CASE WHEN work THEN (d % 12)::VARCHAR ELSE '' END AS number,
+      CASE WHEN work THEN '1-2' WHEN manual THEN '' ELSE op END AS pages, {_either('md', "CASE WHEN manual THEN '10.1/' || d ELSE od END")} AS doi,
+      url, abstract, CASE WHEN work THEN '1234-5678' ELSE '' END AS issn FROM shaped)""")
