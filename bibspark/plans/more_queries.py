@@ -13,7 +13,7 @@ from ..operators import bib, linkage, maintain, quality, query_table, search
 from ..session import scratch_path
 from . import sql as S
 from . import views as V
-from .queries import _BIBSUP, _BIBV, _PAIRS, _SIGNALS, _SUPP_MERGE, MANY, ORACLES, _dups, _facts, _neighbours, joined, query, search_index
+from .queries import _BIBSUP, _BIBV, _DOIS, _PAIRS, _PLANTED, _SIGNALS, _SUPP_MERGE, _WORKT, MANY, ORACLES, _dups, _facts, _neighbours, joined, query, search_index
 
 # --- sources ---------------------------------------------------------------------------------
 
@@ -234,7 +234,8 @@ def _cut(x: str, pattern: str) -> str:
 
 
 _WORDS = "[\\p{L}\\p{M}\\p{N}_.''-]"
-_LINES = f"""raw_lines AS (SELECT 'doc-' || doc_id AS paper_id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents),
+_TEXTS = "texts AS (SELECT 'doc-' || doc_id AS paper_id, text FROM documents)"
+_LINES = f"""raw_lines AS (SELECT paper_id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM texts),
   kept AS (SELECT paper_id, pos, trim(l, chr(32) || chr(9) || chr(13)) AS l FROM raw_lines),
   text_lines AS (SELECT paper_id, row_number() OVER (PARTITION BY paper_id ORDER BY pos) AS i, {S.titleish('l')} AS x FROM kept WHERE l <> ''
     AND NOT regexp_matches(l, '^\\[Page \\d+\\]$') AND NOT regexp_matches(l, '(?i)\\b(?:doi|received|accepted|published online|open access|check for updates)\\b')
@@ -244,20 +245,20 @@ _PREFIXES = f"""labels AS (SELECT *, trim(regexp_replace(regexp_replace(regexp_r
   prefixes AS (SELECT paper_id, i, x, coalesce({_cut('t', f"\\s[A-Z]{_WORDS}+(?:\\s+[A-Z]{_WORDS}+){{0,3}}(?:\\p{{Nd}}|[*†‡])")}, {_cut('t', "[.?!:]\\s+[A-Z]")}, t) AS p FROM labels)"""
 
 
-@query("text_lines", f"WITH {_LINES} SELECT paper_id, i, x AS line FROM text_lines")
+@query("text_lines", f"WITH {_TEXTS}, {_LINES} SELECT paper_id, i, x AS line FROM text_lines")
 def text_lines(spark, sf):
     return V.texts(spark, sf).select("paper_id", F.posexplode(P.text_lines("text")).alias("i", "line")).select(
         "paper_id", (F.col("i") + 1).cast("bigint").alias("i"), "line")
 
 
-@query("title_prefixes", f"WITH {_LINES}, {_PREFIXES} SELECT paper_id, i, p AS prefix FROM prefixes")
+@query("title_prefixes", f"WITH {_TEXTS}, {_LINES}, {_PREFIXES} SELECT paper_id, i, p AS prefix FROM prefixes")
 def title_prefixes(spark, sf):
     lines = V.texts(spark, sf).select("paper_id", F.posexplode(P.text_lines("text")).alias("i", "line"))
     return lines.select("paper_id", (F.col("i") + 1).cast("bigint").alias("i"), P.title_prefix("line").alias("prefix"))
 
 
 _NO_ET_AL = "NOT contains(lower({x}), 'et al')"
-ORACLES["title_candidates"] = f"""WITH {_LINES}, {_PREFIXES},
+_TITLES = f"""{_LINES}, {_PREFIXES},
   top AS (SELECT paper_id, i, {S.titleish("x || ' ' || lead(x) OVER (PARTITION BY paper_id ORDER BY i)")} AS v FROM text_lines WHERE i <= 8 AND {_n_words('x')} >= 2),
   found AS (SELECT paper_id, CASE WHEN i <= 25 THEN 0 ELSE 2 END AS part, i, 0 AS sub, p AS v FROM prefixes WHERE p <> x AND {_n_words('p')} BETWEEN 5 AND 25 AND {_NO_ET_AL.format(x='p')}
     UNION ALL SELECT paper_id, CASE WHEN i <= 25 THEN 0 ELSE 2 END, i, 1, x FROM prefixes WHERE {_n_words('x')} BETWEEN 5 AND 25 AND length(x) >= 25 AND {_NO_ET_AL.format(x='x')}
@@ -265,9 +266,10 @@ ORACLES["title_candidates"] = f"""WITH {_LINES}, {_PREFIXES},
       AND NOT regexp_matches(x, '(?i)\\b(?:university|department|institute|laboratory|school|center|centre)\\b')
     UNION ALL SELECT paper_id, 1, i, 0, v FROM top WHERE v IS NOT NULL AND {_n_words('v')} BETWEEN 6 AND 20 AND {_NO_ET_AL.format(x='v')}),
   once AS (SELECT * FROM found QUALIFY row_number() OVER (PARTITION BY paper_id, v ORDER BY part, i, sub) = 1),
-  best AS (SELECT * FROM once QUALIFY row_number() OVER (PARTITION BY paper_id ORDER BY part, i, sub) <= 4)
+  guesses AS (SELECT * FROM once QUALIFY row_number() OVER (PARTITION BY paper_id ORDER BY part, i, sub) <= 4)"""
+ORACLES["title_candidates"] = f"""WITH {_TEXTS}, {_TITLES}
   SELECT 'doc-' || doc_id AS paper_id, coalesce(titles, '') AS titles FROM documents LEFT JOIN
-    (SELECT paper_id, string_agg(v, '|' ORDER BY part, i, sub) AS titles FROM best GROUP BY 1) b ON b.paper_id = 'doc-' || doc_id"""
+    (SELECT paper_id, string_agg(v, '|' ORDER BY part, i, sub) AS titles FROM guesses GROUP BY 1) b ON b.paper_id = 'doc-' || doc_id"""
 
 
 # --- the rebuilt bibliography ------------------------------------------------------------------------
@@ -303,3 +305,23 @@ ORACLES["bib_rebuild"] = S.with_registry(f"""
       CASE WHEN work THEN (d % 40)::VARCHAR ELSE '' END AS volume, CASE WHEN work THEN (d % 12)::VARCHAR ELSE '' END AS number,
       CASE WHEN work THEN '1-2' WHEN manual THEN '' ELSE op END AS pages, {_either('md', "CASE WHEN manual THEN '10.1/' || d ELSE od END")} AS doi,
       url, abstract, CASE WHEN work THEN '1234-5678' ELSE '' END AS issn FROM shaped)""")
+
+
+# --- DOIs against works, with the titles of the texts ---------------------------------------------------
+
+ORACLES["doi_resolution_titles"] = S.with_registry(f"""
+  SELECT paper_id, doi AS best_doi, round(score, 4) AS best_score, CASE WHEN score >= 0.55 THEN 'accepted' WHEN score >= 0.35 THEN 'review' ELSE 'rejected' END AS decision, attempts,
+    concat_ws('|', CASE WHEN wy IS NOT NULL AND wy <> hint THEN 'crossref_year_hint_mismatch:' || hint || '!=' || wy END,
+      CASE WHEN vk NOT IN ('', 'naturegenetics') THEN 'crossref_venue_hint_mismatch:naturegenetics!=' || vk END) AS warnings
+  FROM (SELECT *, count(*) OVER (PARTITION BY paper_id) AS attempts, row_number() OVER (PARTITION BY paper_id ORDER BY score DESC, pr DESC, place) AS k FROM (
+    SELECT *, CASE WHEN wn IN ('', 'abstract', 'proceedings of the national academy of sciences') THEN -1.0 ELSE best
+      + CASE WHEN wy = hint THEN 0.08 WHEN abs(wy - hint) = 1 THEN 0.03 ELSE 0.0 END + CASE WHEN vk = 'naturegenetics' THEN 0.08 ELSE 0.0 END END AS score FROM (
+      SELECT paper_id, doi, pr, place, wn, wy, hint, vk, coalesce(max({S.sim('q', 'wn', 'qt', 'wt')}), 0.0) AS best FROM hits LEFT JOIN targets USING (paper_id) GROUP BY ALL))) WHERE k = 1""",
+  _PLANTED, _DOIS, "texts AS (SELECT paper_id, text FROM planted)", _TITLES,
+  f"""named AS (SELECT paper_id, list_filter(list_transform(string_split(replace(regexp_replace(filename, '[.][^.]*$', ''), '_', ' '), ' - '), lambda x: trim(x)), lambda x: x <> '') AS c FROM planted)""",
+  f"""targets AS (SELECT paper_id, {S.norm('v')} AS q, {S.tokens(S.norm('v'))} AS qt FROM (SELECT paper_id, v FROM guesses UNION ALL
+    SELECT paper_id, CASE WHEN len(c) >= 3 THEN {S.titleish('c[-1]')} WHEN len(c) = 2 AND len({S.words(S.titleish('c[2]'))}) >= 4 THEN {S.titleish('c[2]')}
+      WHEN len(c) = 2 THEN {S.titleish("c[1] || ' ' || c[2]")} ELSE '' END FROM named) WHERE v <> '')""",
+  f"""hits AS (SELECT d.paper_id, d.doi, d.pr, d.place, {S.norm('w.t')} AS wn, {S.tokens(S.norm('w.t'))} AS wt, w.y AS wy, (1980 + x.n_chars % 45)::INT AS hint, {S.venue_key('w.v')} AS vk
+    FROM dois d JOIN documents x ON 'doc-' || x.doc_id = d.paper_id JOIN (SELECT '10.1234/abc.' || lpad(row_ord::VARCHAR, 6, '0') AS wd, {_WORKT} AS t,
+      {S.venue("CASE WHEN venue = 'bioRxiv' THEN 'Nature Genetics' ELSE venue END")} AS v, CASE WHEN year <> 'n/a' THEN year::INT + row_ord % 3 - 1 END AS y FROM registry) w ON w.wd = lower(d.doi))""")
