@@ -13,7 +13,7 @@ from ..operators import bib, linkage, maintain, quality, query_table, search
 from ..session import scratch_path
 from . import sql as S
 from . import views as V
-from .queries import _BIBSUP, _BIBV, _DOIS, _PAIRS, _PLANTED, _SIGNALS, _SUPP_MERGE, _WORKT, MANY, ORACLES, _dups, _facts, _neighbours, joined, query, search_index
+from .queries import _BIBSUP, _BIBV, _DOIS, _PAIRS, _PLANTED, _RECON, _SIGNALS, _SUPP_MERGE, _WORKT, MANY, ORACLES, _dups, _facts, _neighbours, joined, query, search_index
 
 # --- sources ---------------------------------------------------------------------------------
 
@@ -325,3 +325,41 @@ ORACLES["doi_resolution_titles"] = S.with_registry(f"""
   f"""hits AS (SELECT d.paper_id, d.doi, d.pr, d.place, {S.norm('w.t')} AS wn, {S.tokens(S.norm('w.t'))} AS wt, w.y AS wy, (1980 + x.n_chars % 45)::INT AS hint, {S.venue_key('w.v')} AS vk
     FROM dois d JOIN documents x ON 'doc-' || x.doc_id = d.paper_id JOIN (SELECT '10.1234/abc.' || lpad(row_ord::VARCHAR, 6, '0') AS wd, {_WORKT} AS t,
       {S.venue("CASE WHEN venue = 'bioRxiv' THEN 'Nature Genetics' ELSE venue END")} AS v, CASE WHEN year <> 'n/a' THEN year::INT + row_ord % 3 - 1 END AS y FROM registry) w ON w.wd = lower(d.doi))""")
+
+
+# --- reconciliation ---------------------------------------------------------------------------------------
+
+_TWO = S.titleish("c[1] || ' ' || c[2]")
+_FILE_TITLE = (f"CASE WHEN len(c) >= 3 THEN {S.titleish('c[-1]')} WHEN len(c) = 2 AND len({S.words(S.titleish('c[2]'))}) >= 4 THEN {S.titleish('c[2]')} "
+               f"WHEN len(c) = 2 THEN {_TWO} ELSE '' END")
+_NAMED = """named AS (SELECT paper_id, list_filter(list_transform(string_split(replace(regexp_replace(filename, '[.][^.]*$', ''), '_', ' '), ' - '), lambda x: trim(x)), lambda x: x <> '') AS c FROM planted)"""
+_OLD_TITLE = "CASE WHEN r.resolved_title <> '' THEN r.resolved_title ELSE r.title_query END"
+ORACLES["reconcile"] = S.with_registry(f"""
+  SELECT paper_id, CASE WHEN skip = '' AND lost <> '' THEN 'metadata_loss:' || lost ELSE skip END AS skip_reason, ok AS accepted,
+    CASE WHEN skip <> '' THEN 'skip' WHEN ok THEN 'upgrade_to_crossref' ELSE 'review_or_skip' END AS proposed_action, doi AS best_doi, round(score, 4) AS best_score,
+    CASE WHEN doi IS NULL THEN '' WHEN reasons <> '' THEN 'rewrite_entry' ELSE 'enrich_existing_entry' END AS job_type, reasons AS rewrite_reasons, changed, ok AND reasons = '' AS applies
+  FROM (SELECT *, skip = '' AND coalesce(score, -1) >= 0.55 AND lost = '' AS ok FROM judged)""",
+  _PLANTED, _DOIS, "texts AS (SELECT paper_id, text FROM planted)", _TITLES, _NAMED,
+  f"""eligible AS (SELECT *, CASE WHEN content_kind <> 'pdf_backed' THEN 'not_pdf_backed' WHEN {_RECON} THEN 'supplement'
+    WHEN row_ord % 5 = 0 THEN 'protected_source:manual_bibtex' WHEN row_ord % 5 = 2 THEN 'protected_source:manual_supplement_link'
+    WHEN row_ord % 19 = 4 THEN 'invalid_record_filename:other.pdf' ELSE '' END AS skip FROM registry)""",
+  f"""targets AS (SELECT paper_id, {S.norm('v')} AS q, {S.tokens(S.norm('v'))} AS qt FROM (SELECT paper_id, v FROM guesses UNION ALL SELECT paper_id, {_FILE_TITLE} FROM named
+    UNION ALL SELECT paper_id, {_OLD_TITLE.replace('r.', '')} FROM registry UNION ALL SELECT paper_id, title_query FROM registry) WHERE v <> '')""",
+  f"""works AS (SELECT row_ord AS d, {_WORKT} AS t, {S.venue("CASE WHEN venue = 'bioRxiv' THEN 'Nature Genetics' ELSE venue END")} AS v, CASE WHEN year <> 'n/a' THEN year::INT + row_ord % 3 - 1 END AS y FROM registry)""",
+  f"""hits AS (SELECT d.paper_id, d.doi, d.pr, d.place, w.d, {S.norm('w.t')} AS wn, {S.tokens(S.norm('w.t'))} AS wt, w.y AS wy, w.t, w.v, (1980 + x.n_chars % 45)::INT AS hint, {S.venue_key('w.v')} AS vk
+    FROM dois d JOIN documents x ON 'doc-' || x.doc_id = d.paper_id JOIN works w ON lower(d.doi) = '10.1234/abc.' || lpad(w.d::VARCHAR, 6, '0'))""",
+  f"""scores AS (SELECT paper_id, doi, pr, place, d, t, v, wy, CASE WHEN wn IN ('', 'abstract', 'proceedings of the national academy of sciences') THEN -1.0 ELSE coalesce(max({S.sim('q', 'wn', 'qt', 'wt')}), 0.0)
+      + CASE WHEN wy = hint THEN 0.08 WHEN abs(wy - hint) = 1 THEN 0.03 ELSE 0.0 END + CASE WHEN vk = 'naturegenetics' THEN 0.08 ELSE 0.0 END END AS score
+    FROM hits LEFT JOIN targets USING (paper_id) WHERE paper_id IN (SELECT paper_id FROM eligible WHERE skip = '') GROUP BY paper_id, doi, pr, place, d, t, v, wy, wn, hint, vk)""",
+  "chosen AS (SELECT * FROM scores QUALIFY row_number() OVER (PARTITION BY paper_id ORDER BY score DESC, pr DESC, place) = 1)",
+  f"""paired AS (SELECT r.*, f.doi AS found_doi, f.score, f.d, coalesce(f.v, '') AS new_venue, coalesce(f.wy::VARCHAR, '') AS new_year, trim(coalesce(f.t, '')) AS new_title,
+    {S.squeeze(_OLD_TITLE)} AS old_title, lower('10.1234/ABC.' || lpad(f.d::VARCHAR, 6, '0')) AS new_doi, {S.doi('r.doi')} AS old_doi FROM eligible r LEFT JOIN chosen f USING (paper_id))""",
+  f"""likeness AS (SELECT *, {S.sim(S.norm('old_title'), S.norm('new_title'), S.tokens(S.norm('old_title')), S.tokens(S.norm('new_title')))} AS likeness FROM paired)""",
+  f"""judged AS (SELECT paper_id, skip, found_doi AS doi, score, CASE WHEN found_doi IS NULL THEN '' ELSE concat_ws(',', CASE WHEN old_title <> '' AND new_title = '' THEN 'resolved_title' END,
+      CASE WHEN year <> '' AND new_year = '' THEN 'year' END) END AS lost,
+    CASE WHEN found_doi IS NULL THEN '' ELSE concat_ws('|', CASE WHEN old_title <> '' AND new_title <> '' AND likeness < 0.92 THEN 'title_changed_score=' || printf('%.3f', likeness) END,
+      CASE WHEN old_doi <> '' AND old_doi <> new_doi THEN 'doi_changed' END, CASE WHEN new_year <> '' AND year <> new_year THEN 'year_changed' END,
+      CASE WHEN lower(venue) LIKE '%biorxiv%' AND new_venue <> '' THEN 'preprint_to_journal' END) END AS reasons,
+    CASE WHEN found_doi IS NULL THEN '' ELSE concat_ws('|', 'bibtex.issn', 'bibtex.number', 'bibtex.pages', 'bibtex.publisher', 'bibtex.volume', 'canonical_url', 'doi',
+      CASE WHEN new_title <> '' AND new_title <> trim(resolved_title) THEN 'resolved_title' END, CASE WHEN new_venue <> '' AND new_venue <> trim(venue) THEN 'venue' END,
+      CASE WHEN new_year <> '' AND new_year <> trim(year) THEN 'year' END) END AS changed FROM likeness)""")
