@@ -162,3 +162,23 @@ def test_one_file_is_read_by_many_tasks(spark, tmp_path):
     assert tasks > 10
     assert [r.ord for r in rows] == list(range(650))
     assert [tuple(r[c] for c in cols) for r in rows] == want
+
+
+def test_ingest_folds_old_batches_into_snapshots(spark, tmp_path):
+    """Snapshots change neither the registry nor a batch that runs again, and later batches skip what they cover."""
+    def batch(n):
+        rows = [(i, f"articles/{n}-{i}.pdf", f"Text {n} {i} " * 20, "", f"Title number {n} {i}", "Ann Lee", "2001", "Cell", f"10.1/x{n}{i}", "") for i in range(3)]
+        return spark.createDataFrame(rows, "ord bigint, path string, text string, s2_id string, title string, authors string, year string, venue string, doi string, url string")
+
+    state = lambda root: sorted(map(tuple, G.read_registry(spark, root).collect()))
+    plain, folded = str(tmp_path / "plain"), str(tmp_path / "folded")
+    for n in range(5):
+        G.ingest_batch(batch(n), plain, n, stream_id="s", compact_after=100)
+        G.ingest_batch(batch(n), folded, n, stream_id="s", compact_after=1)
+    assert state(plain) == state(folded) and len(state(plain)) == 15
+    numbers = [r.seq for r in spark.read.schema("part string, seq bigint").json(f"{folded}/_snapshots").collect()]
+    assert sorted(numbers) == [1, 3]
+    read = G.current_deltas(spark, folded)
+    assert {r.seq for r in read.select("seq").distinct().collect()} == {3, 4} and read.count() == 12 + 3
+    G.ingest_batch(batch(4), folded, 4, stream_id="s", compact_after=1)  # runs again
+    assert state(plain) == state(folded)
