@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import names as N
 from ..functions import text as T
 from ..session import materialize
 from .joins import split_lookup
@@ -22,20 +23,30 @@ def _keys(df: DataFrame, id_col: str | None, **columns: Column) -> DataFrame:
         "\u0001", "p.kind", "p.value").alias("k"))
 
 
+def with_minted_keys(incoming: DataFrame) -> DataFrame:
+    """Add ``minted_key``: the key that an entry ``(authors, year, title)`` without one gets when it is accepted, else empty."""
+    minted = N.batch_bib_key(T.first_filled("authors", F.lit("author")), "year", "title")
+    return incoming.withColumn("minted_key", F.when(T.strip(T.blank("bibtex_key")) == "", minted).otherwise(""))
+
+
 def accept_batch(incoming: DataFrame, registry: DataFrame, max_rounds: int | None = None) -> DataFrame:
-    """Accept ``incoming(ord, doi, bibtex_key, title)`` greedily in order.
+    """Accept ``incoming(ord, doi, bibtex_key, title[, minted_key])`` greedily in order.
 
     An entry is skipped when its DOI, key or title is in the registry or belongs to an entry accepted
-    before it; skipped entries do not block later ones.  Adds ``accepted`` and ``reason``.
+    before it; skipped entries do not block later ones.  A minted key does not stop its own entry, but once accepted it
+    belongs to it like any other.  Adds ``accepted`` and ``reason``.
 
-    Rounds: every entry that is first among the undecided for all of its keys is accepted, then all
+    Rounds: every entry that is first among the undecided for all of its keys is accepted, then all later ones
     that share a key with it are skipped.  Each round decides at least the first undecided entry, so
     the result is exact for any input; unrelated entries are decided in the same round.
     """
-    keys = materialize(_keys(incoming, "ord", doi=F.col("doi"), key=F.col("bibtex_key"), title=F.col("title")), "keys")
+    keys = _keys(incoming, "ord", doi=F.col("doi"), key=F.col("bibtex_key"), title=F.col("title")).withColumn("checked", F.lit(True))
+    if "minted_key" in incoming.columns:
+        keys = keys.unionByName(_keys(incoming, "ord", key=F.col("minted_key")).withColumn("checked", F.lit(False)))
+    keys = materialize(keys, "keys")
     known = materialize(_keys(registry, None, doi=F.col("doi"), key=F.col("bibtex_key"),
                               title=F.col("resolved_title")).distinct(), "known")
-    blocked = keys.join(known, "k", "left_semi").select("ord").distinct()
+    blocked = keys.filter("checked").join(known, "k", "left_semi").select("ord").distinct()
     open_keys = materialize(keys.join(blocked, "ord", "left_anti"), "open")
     accepted = incoming.select("ord").join(keys, "ord", "left_anti")         # nothing to compare: always new
     rounds = 0
@@ -46,10 +57,10 @@ def accept_batch(incoming: DataFrame, registry: DataFrame, max_rounds: int | Non
         first = open_keys.groupBy("k").agg(F.min("ord").alias("first"))
         ready = materialize(
             split_lookup(open_keys, first, "k").groupBy("ord")
-            .agg(F.bool_and(F.col("ord") == F.col("first")).alias("ready")).filter("ready").select("ord"), "ready")
-        taken = open_keys.join(ready, "ord", "left_semi").select("k", F.lit(True).alias("taken"))
-        gone = split_lookup(open_keys, taken, "k").filter("taken").select("ord").distinct()
-        open_keys = materialize(open_keys.join(gone, "ord", "left_anti"), "open")
+            .agg(F.bool_and(~F.col("checked") | (F.col("ord") == F.col("first"))).alias("ready")).filter("ready").select("ord"), "ready")
+        taken = open_keys.join(ready, "ord", "left_semi").groupBy("k").agg(F.min("ord").alias("taken"))
+        late = split_lookup(open_keys, taken, "k").filter("checked AND taken < ord").select("ord")
+        open_keys = materialize(open_keys.join(late.unionByName(ready), "ord", "left_anti"), "open")
         accepted = accepted.unionByName(ready)
     accepted = accepted.withColumn("accepted", F.lit(True))
 
@@ -60,7 +71,7 @@ def accept_batch(incoming: DataFrame, registry: DataFrame, max_rounds: int | Non
     rank = F.create_map(*[F.lit(x) for i, n in enumerate(KEY_ORDER) for x in (n, i)])
     kind = F.substring_index("k", "\u0001", 1)
     reasons = (
-        split_lookup(keys, claims, "k").filter(F.col("owner") < F.col("ord"))
+        split_lookup(keys.filter("checked"), claims, "k").filter(F.col("owner") < F.col("ord"))
         .groupBy("ord").agg(F.min_by(kind, F.element_at(rank, kind)).alias("reason")))
     return (
         incoming.join(accepted, "ord", "left").join(reasons, "ord", "left")

@@ -9,11 +9,12 @@ from ..functions import names as N
 from ..functions import nested as NV
 from ..functions import parsing as P
 from ..functions import text as T
-from ..operators import bib, linkage, maintain, quality, query_table, search
+from ..functions import bibtex as BX
+from ..operators import accept, bib, linkage, maintain, quality, query_table, search
 from ..session import scratch_path
 from . import sql as S
 from . import views as V
-from .queries import _BIBSUP, _BIBV, _DOIS, _PAIRS, _PLANTED, _RECON, _SIGNALS, _SUPP_MERGE, _WORKT, MANY, ORACLES, _dups, _facts, _neighbours, joined, query, search_index
+from .queries import _BIBSUP, _BIBV, _DOIS, _PAIRS, _PLANTED, _RECON, _SIGNALS, _SUPP_MERGE, _WORKT, MANY, ORACLES, _dups, _facts, _neighbours, _parsed, joined, query, search_index
 
 # --- sources ---------------------------------------------------------------------------------
 
@@ -363,3 +364,29 @@ ORACLES["reconcile"] = S.with_registry(f"""
     CASE WHEN found_doi IS NULL THEN '' ELSE concat_ws('|', 'bibtex.issn', 'bibtex.number', 'bibtex.pages', 'bibtex.publisher', 'bibtex.volume', 'canonical_url', 'doi',
       CASE WHEN new_title <> '' AND new_title <> trim(resolved_title) THEN 'resolved_title' END, CASE WHEN new_venue <> '' AND new_venue <> trim(venue) THEN 'venue' END,
       CASE WHEN new_year <> '' AND new_year <> trim(year) THEN 'year' END) END AS changed FROM likeness)""")
+
+
+# --- batches with minted keys ----------------------------------------------------------------------------
+
+_TOKEN = "coalesce({0}[1], 'paper')"
+_MINTED = (f"{_TOKEN.format(S.tokens('authors'))} || CASE WHEN year <> '' THEN year ELSE 'undated' END || "
+           + _TOKEN.format(S.tokens("CASE WHEN title <> '' THEN title ELSE 'title' END")))
+
+
+@query("batch_accept_minted", "WITH RECURSIVE " + S.REGISTRY + ", " + _BIBV + f""", known AS (SELECT list(DISTINCT k) AS ks FROM (
+    SELECT 'd' || lower(trim(doi)) AS k FROM registry WHERE row_ord % 10 = 0 AND doi <> '' UNION ALL SELECT 'k' || lower(bibtex_key) FROM registry WHERE row_ord % 10 = 0 AND bibtex_key <> ''
+    UNION ALL SELECT 't' || lower(trim(resolved_title)) FROM registry WHERE row_ord % 10 = 0 AND resolved_title <> '')),
+  entries AS (SELECT ord, row_number() OVER (ORDER BY ord) AS i, CASE WHEN d <> '' THEN 'd' || d ELSE '-' END AS kd, CASE WHEN ord % 3 = 0 THEN '-' ELSE 'k' || lower(bibtex_key) END AS kk,
+    'k' || lower(CASE WHEN ord % 3 = 0 THEN {_MINTED} ELSE bibtex_key END) AS kept, CASE WHEN title <> '' THEN 't' || lower(title) ELSE '-' END AS kt FROM (SELECT *, {S.doi('doi_raw')} AS d FROM bibv)),
+  walk AS (SELECT 0::BIGINT AS i, NULL::BIGINT AS ord, ''::VARCHAR AS reason, ks AS taken, ''::VARCHAR AS bibtex_key FROM known
+    UNION ALL SELECT e.i, e.ord, CASE WHEN list_contains(w.taken, e.kd) THEN 'doi' WHEN list_contains(w.taken, e.kk) THEN 'key' WHEN list_contains(w.taken, e.kt) THEN 'title' ELSE '' END,
+      CASE WHEN list_contains(w.taken, e.kd) OR list_contains(w.taken, e.kk) OR list_contains(w.taken, e.kt) THEN w.taken ELSE list_concat(w.taken, list_filter([e.kd, e.kept, e.kt], lambda x: x <> '-')) END, e.kept
+    FROM walk w JOIN entries e ON e.i = w.i + 1)
+  SELECT ord, reason = '' AS accepted, reason, substr(bibtex_key, 2) AS bibtex_key FROM walk WHERE i > 0""")
+def batch_accept_minted(spark, sf):
+    """Every third entry comes without a key and gets one from its author, year and title."""
+    meta = BX.normalized_metadata(F.col("fields"))
+    inc = _parsed(spark, sf).select("ord", meta["doi"].alias("doi"), F.when(F.col("ord") % 3 == 0, "").otherwise(F.col("bibtex_key")).alias("bibtex_key"),
+                                    meta["title"].alias("title"), meta["authors"].alias("authors"), meta["year"].alias("year"))
+    done = accept.accept_batch(accept.with_minted_keys(inc), V.registry(spark, sf).filter("row_ord % 10 = 0"))
+    return done.select("ord", "accepted", "reason", F.lower(T.first_filled("bibtex_key", "minted_key")).alias("bibtex_key"))

@@ -120,6 +120,22 @@ def test_batch_acceptance(spark):
     assert all(ok == (r == "") for r, ok in got.values())
 
 
+def test_minted_keys_block_later_entries_only(spark):
+    rnd = random.Random(12)
+    entries = [(i, rnd.choice(["", "", *"abcdef"]), rnd.choice(["", "", *(f"k{j}" for j in range(9))]), rnd.choice(["", "", "t1", "t2"]), f"k{rnd.randrange(9)}") for i in range(80)]
+    entries = [(o, d, k, t, "" if k else m) for o, d, k, t, m in entries]
+    taken, want = {"d": {"b"}, "k": {"k3"}, "t": set()}, {}
+    for o, d, k, t, m in entries:
+        want[o] = next((n for n, kind, v in (("doi", "d", d), ("key", "k", k), ("title", "t", t)) if v and v in taken[kind]), "")
+        if not want[o]:
+            for kind, v in (("d", d), ("k", k or m), ("t", t)):
+                if v:
+                    taken[kind].add(v)
+    df = spark.createDataFrame(entries, "ord bigint, doi string, bibtex_key string, title string, minted_key string")
+    reg = spark.createDataFrame([("b", "k3", "")], "doi string, bibtex_key string, resolved_title string")
+    assert {r.ord: r.reason for r in accept.accept_batch(df, reg).collect()} == want
+
+
 def test_batch_acceptance_example(spark):
     df = spark.createDataFrame([(0, "d1", "", "t1"), (1, "d1", "", "t2"), (2, "d2", "", "t2")], "ord bigint, doi string, bibtex_key string, title string")
     empty = spark.createDataFrame([], "doi string, bibtex_key string, resolved_title string")
