@@ -5,6 +5,7 @@ The functions are built when used, since return types need a running session.
 """
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -27,7 +28,10 @@ def ascii_fold(c: Column) -> Column:
 
 def parse_bib(raw: Column | str, recover: bool = False) -> Column:
     """One bibliography entry to ``entry_type, bibtex_key, fields, error``; ``recover`` keeps the readable fields of damaged ones."""
-    return F.pandas_udf(worker.recover_entries if recover else worker.parse_entries, PARSED_BIB)(raw)
+    def parse(batch: pa.Array) -> pa.Array:
+        return worker.parse_entries(batch, recover)
+
+    return F.arrow_udf(parse, PARSED_BIB)(raw)
 
 
 def split_balanced(text: Column | str) -> Column:

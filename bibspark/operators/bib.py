@@ -20,7 +20,8 @@ def parse_entries(entries: DataFrame, recover: bool = False) -> DataFrame:
 
     With ``recover`` a damaged entry keeps the fields that fill whole lines and has no error; only texts without an entry header fail.
     """
-    return entries.select("ord", F.col("raw"), B.parse_bib("raw", recover).alias("p")).select(
+    # exploded: an entry is parsed once, not once more for a filter on its error
+    return entries.select("ord", F.col("raw"), F.explode(F.array(B.parse_bib("raw", recover))).alias("p")).select(
         "ord", "p.entry_type", "p.bibtex_key", "p.fields", T.strip("raw").alias("raw"), "p.error")
 
 
@@ -41,9 +42,10 @@ def canonicalize(parsed: DataFrame) -> DataFrame:
     """Entry text in canonical form and the names of fields it leaves out."""
     meta = B.normalized_metadata(F.col("fields"))
     fields = B.preserved_fields("entry_type", F.col("fields"), meta)
-    return parsed.select(
+    kept = parsed.select(
         "ord", "entry_type", "bibtex_key", B.ignored_fields("entry_type", F.col("fields")).alias("ignored_fields"),
-        fields.alias("fields"), B.render_entry("entry_type", "bibtex_key", fields).alias("raw"))
+        T.let(fields, lambda f: F.struct(f.alias("fields"), B.render_entry("entry_type", "bibtex_key", f).alias("raw"))).alias("e"))
+    return kept.select("ord", "entry_type", "bibtex_key", "ignored_fields", "e.fields", "e.raw")
 
 
 def audit(parsed: DataFrame) -> DataFrame:
@@ -52,6 +54,7 @@ def audit(parsed: DataFrame) -> DataFrame:
     Parse errors, keys used again (with the first position), headers inside another entry, and text
     behind the last entry.
     """
+    parsed = materialize(parsed.select("ord", "bibtex_key", "raw", "error"), "audited")  # five readers, one parse
     none = F.lit(None).cast("bigint")
     ord_ = F.col("ord").cast("bigint")
     errors = parsed.filter("error <> ''").select(
