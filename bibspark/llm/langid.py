@@ -23,6 +23,8 @@ GRAMS = (2, 3, 4)
 #: the training sample: so many rows a language at most (in expectation of a hash sample), of texts up to this length
 PER_LANG, MAX_CHARS = 1500, 20_000
 UNKNOWN = "und"
+#: distinct words that are scored at a time, and bytes of texts that make a slice of a prediction
+WORDS, SLICE = 8192, 1 << 19
 
 
 def word_buckets(words: kernel.Words, pick: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -189,10 +191,10 @@ def identify(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: s
 def judge(model: Model, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Number of the language (the last is unknown), score and rejection of each text."""
     best, score, reject = [np.zeros(0, np.int64)], [np.zeros(0)], [np.zeros(0, bool)]
-    for w, h, pick, inverse, letters in slices_of(column, kernel.SLICE_BYTES):
+    for w, h, pick, inverse, letters in slices_of(column, SLICE):
         z, n = np.zeros((len(pick), model.table.shape[1]), np.float32), np.zeros(len(pick))
-        for a in range(0, len(pick), 50_000):  # distinct words, a bounded number at a time
-            part = pick[a:a + 50_000]
+        for a in range(0, len(pick), WORDS):  # distinct words, a bounded number at a time
+            part = pick[a:a + WORDS]
             owner, bucket = word_buckets(w, part, h)
             n[a:a + len(part)] = np.bincount(owner, minlength=len(part))
             for c in range(z.shape[1]):
