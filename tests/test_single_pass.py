@@ -3,7 +3,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from bibspark.functions import worker
-from bibspark.operators import bib, resolve, search
+from bibspark.operators import bib, resolve, search, similarity
 from bibspark.plans import queries as Q
 from bibspark.plans import views as V
 
@@ -38,3 +38,26 @@ def test_parents_come_from_written_tables(spark, sf):
     r = V.registry(spark, sf)
     supp = r.filter(F.col("row_ord") % 5 >= 3).select("paper_id", "pdf_path", F.array("title_query").alias("title_candidates"))
     assert not any("documents.parquet" in f for f in resolve.supplement_parents(supp, r).inputFiles())
+
+
+def test_uneven_sides_give_the_brute_force_pairs(spark):
+    import random
+    rng = random.Random(5)
+    words = ["gene", "genes", "fold", "map", "maps", "loop", "of", "a", "in", "ene", "extrusion", "study"]
+    title = lambda: " ".join(rng.choice(words) for _ in range(rng.randint(1, 6)))
+    few, many = sorted({title() for _ in range(12)}), sorted({title() for _ in range(300)})
+    frame = lambda xs, c: spark.createDataFrame([(x,) for x in xs], f"{c} string")
+    for left, right in ((few, many), (many, few)):
+        prepared = similarity.prepare(frame(left, "q"), "q", frame(right, "t"), "t")
+        got = sorted((r.q_norm, r.t_norm, r.similarity) for r in similarity.part_pairs(prepared).collect())
+        assert got == sorted((q, t, 1.0 if q == t else 0.92) for q in left for t in right if q in t or t in q)
+
+
+def test_containment_never_pairs_titles_of_one_side(spark, monkeypatch):
+    asked = []
+    whole = similarity.contained_pairs
+    monkeypatch.setattr(similarity, "contained_pairs", lambda a, b: asked.append((a.count(), b.count())) or whole(a, b))
+    few, many = [f"gene fold map {i}" for i in range(2)], [f"loop in study {i}" for i in range(30)]
+    frame = lambda xs, c: spark.createDataFrame([(x,) for x in xs], f"{c} string")
+    similarity.part_pairs(similarity.prepare(frame(few, "q"), "q", frame(many, "t"), "t")).collect()
+    assert sorted(asked) == [(2, 30), (30, 2)]
