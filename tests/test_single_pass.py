@@ -2,6 +2,7 @@
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from bibspark.functions import parsing as P
 from bibspark.functions import worker
 from bibspark.operators import bib, resolve, search, similarity
 from bibspark.plans import queries as Q
@@ -61,3 +62,14 @@ def test_containment_never_pairs_titles_of_one_side(spark, monkeypatch):
     frame = lambda xs, c: spark.createDataFrame([(x,) for x in xs], f"{c} string")
     similarity.part_pairs(similarity.prepare(frame(few, "q"), "q", frame(many, "t"), "t")).collect()
     assert sorted(asked) == [(2, 30), (30, 2)]
+
+
+def test_title_guesses_in_order_and_only_as_far_as_needed(spark):
+    full = [f"Line number {i} of the front matter words" for i in range(6)]
+    late = [f"short {i}" for i in range(26)] + ["A late line with enough words here", "A late line with enough words here", "Another late line with enough words"]
+    df = spark.createDataFrame([(full, 4), (late, 3), ([], 0)], "ls array<string>, n int")
+    guess = P.titles_from_lines(F.col("ls"))
+    got = {r.n: r.g for r in df.select("n", guess.alias("g")).collect()}
+    assert got[4] == full[:4] and got[0] == []
+    assert got[3] == late[26:27] + late[28:]
+    assert plan(df.select(guess.alias("g"))).count("aggregate(") >= 2  # a fold that stops, not a map over all lines
