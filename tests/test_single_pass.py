@@ -73,3 +73,18 @@ def test_title_guesses_in_order_and_only_as_far_as_needed(spark):
     assert got[4] == full[:4] and got[0] == []
     assert got[3] == late[26:27] + late[28:]
     assert plan(df.select(guess.alias("g"))).count("aggregate(") >= 2  # a fold that stops, not a map over all lines
+
+
+def test_texts_behind_doi_candidates_are_searched_once(spark, sf):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<string>")
+    def search(doc):
+        seen.add(1)
+        return ["10.1234/abc.%06d" % doc]
+
+    docs = V.documents(spark, sf).select("doc_id", F.col("doc_id").cast("string").alias("paper_id"))
+    found = F.transform(search("doc_id"), lambda d: F.struct(F.lit(0.5).alias("priority_score"), d.alias("doi")))
+    facts = docs.select("paper_id", F.lit(2000).alias("year_hint"), F.lit("").alias("venue_hint"), F.lit("a title").alias("title_query"),
+                        F.array().cast("array<string>").alias("title_candidates"), found.alias("doi_candidates"))
+    assert resolve.resolve_dois(facts, V.works(spark, sf)).count() == docs.count() == seen.value
