@@ -233,6 +233,30 @@ def test_lm_rare_words_come_by_the_join(spark, monkeypatch):
         assert r.n_known == len(words)
 
 
+@pytest.mark.parametrize("order, shares", [(3, None), (2, (0.02, 0.05)), (3, (0.02, 0.05)), (4, (0.02, 0.05))])
+def test_lm_keeps_every_ngram(spark, monkeypatch, order, shares):
+    """Above 2 ** 19 tokens an n-gram that occurs once had no state; frequent contexts are spread over buckets without loss."""
+    rng = random.Random(5)
+    if shares:
+        monkeypatch.setattr(lm, "WORD_SHARE", shares[0])
+        monkeypatch.setattr(lm, "NGRAM_SHARE", shares[1])
+        monkeypatch.setattr(lm, "CODES", 12)
+        monkeypatch.setattr(lm, "BLOCK", 512)
+    words = ["the", "of", "a", "in", *(f"w{k}" for k in range(300))]
+    weights = [60, 40, 30, 20, *([1] * 300)]
+    texts = [" ".join(rng.choices(words, weights, k=rng.randrange(40))) for _ in range(240)] + [None, "", "the of the", "the of the"]
+    train = [d % 4 != 2 for d in range(len(texts))]
+    if not shares:  # pads the counts of one word only
+        texts, train = [*texts, *["pad " * 6600] * 80], [*train, *[True] * 80]
+    df = spark.createDataFrame([(d, t, u) for d, (t, u) in enumerate(zip(texts, train))], "doc_id long, text string, use boolean")
+    got = {r.doc_id: r for r in lm.score_texts(df, F.col("use"), order=order).collect()}
+    assert len(got) == len(texts)
+    for d, want in enumerate(brute_lm(texts, train, order)):
+        r = got[d]
+        assert (r.n_tokens, r.n_known, r.train_tokens) == want[:3]
+        assert r.base_score == pytest.approx(want[3]) and r.score == pytest.approx(want[4])
+
+
 def test_lm_awkward_rows(awkward):
     got = lm.score_texts(awkward, F.col("doc_id") > 2).collect()
     assert len(got) == len(AWKWARD) and all(math.isfinite(r.score) and r.score <= 0 for r in got)
